@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.consistent import consistent_form, inconsistent_values
+from skein.llm.near_duplicates import near_duplicate_groups, pairs_within_groups
 from skein.session import table
 
 
@@ -19,5 +20,18 @@ def p1_consistent(spark: SparkSession, folder: str) -> DataFrame:
     return consistent_form(results, ["text", "title"]).select("result_id", F.col("text_consistent").alias("text"), F.col("title_consistent").alias("title"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_consistent": p1_consistent}
+def _groups(spark: SparkSession, folder: str) -> DataFrame:
+    # This project's statement of the problem: runs of three words, 0.7 of the union.
+    return near_duplicate_groups(table(spark, folder, "search_results"), "result_id", "text", threshold=0.7, run=3)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs_within_groups(_groups(spark, folder), "result_id")
+
+
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return _groups(spark, folder)
+
+
+QUERIES = {"p1_found": p1_found, "p1_consistent": p1_consistent, "p2_found": p2_found, "p2_groups": p2_groups}
 ORACLE: dict[str, str] = {}
