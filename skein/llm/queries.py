@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.functions.folding import BLANKS, CYRILLIC, FULL_WIDTH, GREEK, GREEK_AS_CYRILLIC, INVISIBLE, LATIN, ORDINARY
 from skein.llm.consistent import consistent_form, inconsistent_values
+from skein.llm.leakage import leaks, without_leaks
+from skein.llm.mixing import mix, mix_report, token_counts
 from skein.llm.near_duplicates import near_duplicate_groups, pairs_within_groups
-from skein.session import table
+from skein.llm.splitting import split_oversized
+from skein.session import cut_lineage, table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,5 +37,63 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return _groups(spark, folder)
 
 
-QUERIES = {"p1_found": p1_found, "p1_consistent": p1_consistent, "p2_found": p2_found, "p2_groups": p2_groups}
-ORACLE: dict[str, str] = {}
+def _pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return split_oversized(table(spark, folder, "search_results"), "result_id", "text", ["section_path"])
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder).where("n_parts > 1").select("result_id").distinct()
+
+
+def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder)
+
+
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).select("doc_id", "item_id").distinct()
+
+
+def p6_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Which test items leaked, and into how many documents."""
+    return p6_found(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
+def p6_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return without_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(cut_lineage(token_counts(table(spark, folder, "documents"))), table(spark, folder, "mix_targets"))
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    tokens, targets = cut_lineage(token_counts(table(spark, folder, "documents"))), table(spark, folder, "mix_targets")
+    return mix_report(mix(tokens, targets), tokens, targets)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p2_found, p2_groups, p3_found, p3_pieces, p6_found, p6_items, p6_clean, p7_mix, p7_report)}
+
+def _words() -> str:
+    """A text's words as the operators see them, in the oracle's SQL."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    chars = f"translate(text, {quote(FULL_WIDTH + BLANKS + INVISIBLE)}, {quote(ORDINARY + ' ' * len(BLANKS))})"
+    return f"regexp_extract_all(lower(translate(nfc_normalize({chars}), {quote(LATIN + GREEK)}, {quote(CYRILLIC + GREEK_AS_CYRILLIC)})), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _grams(table_name: str, key: str) -> str:
+    return f"""SELECT DISTINCT {key}, array_to_string(list_slice(words, i, i + 12), ' ') AS gram
+  FROM (SELECT {key}, words, unnest(range(1, len(words) - 11)) AS i FROM (SELECT {key}, {_words()} AS words FROM {table_name} WHERE text IS NOT NULL))"""
+
+
+_LEAKS = f"""WITH d AS ({_grams('documents', 'doc_id')}), b AS ({_grams('benchmark', 'item_id')}),
+found AS (SELECT DISTINCT doc_id, item_id FROM d JOIN b USING (gram))"""
+
+ORACLE: dict[str, str] = {
+    "p3_found": "SELECT result_id FROM search_results WHERE length(text) > 1500",
+    "p6_found": f"{_LEAKS} SELECT doc_id, item_id FROM found",
+    "p6_items": f"{_LEAKS} SELECT item_id, count(*) AS n_documents FROM found GROUP BY item_id",
+}
