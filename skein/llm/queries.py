@@ -10,6 +10,7 @@ from skein.llm.consistent import consistent_form, inconsistent_values
 from skein.llm.leakage import leaks, without_leaks
 from skein.llm.mixing import mix, mix_report, token_counts
 from skein.llm.near_duplicates import near_duplicate_groups, pairs_within_groups
+from skein.llm.scans import repaired
 from skein.llm.splitting import split_oversized
 from skein.session import cut_lineage, table
 
@@ -49,6 +50,18 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder)
 
 
+def _repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return repaired(table(spark, folder, "ocr_blocks"), table(spark, folder, "ocr_tables"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _repaired(spark, folder).where("damaged").select("src_table", "row_id").distinct()
+
+
+def p4_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return _repaired(spark, folder)
+
+
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -75,7 +88,7 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return mix_report(mix(tokens, targets), tokens, targets)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p2_found, p2_groups, p3_found, p3_pieces, p6_found, p6_items, p6_clean, p7_mix, p7_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_repaired, p6_found, p6_items, p6_clean, p7_mix, p7_report)}
 
 def _words() -> str:
     """A text's words as the operators see them, in the oracle's SQL."""
