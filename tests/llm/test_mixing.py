@@ -39,7 +39,7 @@ def test_unreachable_targets(spark):
     tokens, targets = tables(spark, [("a", 500, 60), ("b", 100, 60)], [("a", 0.5, 1), ("b", 0.25, 1), ("gone", 0.25, 3), ("none", None, 1)])
     report = {r.source: r for r in mix_report(mix(tokens, targets), tokens, targets).collect()}
     assert not report["gone"].met and report["gone"].tokens_used == 0
-    assert abs(report["a"].actual_share - 2 / 3) < 0.02
+    assert abs(report["a"].actual_share - 2 / 3) < 0.03
     forced = {r.source: r for r in mix_report(mix(tokens, targets, total_tokens=100_000), tokens, targets).collect()}
     assert forced["b"].tokens_used <= forced["b"].tokens_there and forced["a"].most_uses == 1
 
