@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.folding import BLANKS, CYRILLIC, FULL_WIDTH, GREEK, GREEK_AS_CYRILLIC, INVISIBLE, LATIN, ORDINARY
+from skein.llm.abuse import THRESHOLD, abuse_rates, abuse_scores, fit
 from skein.llm.consistent import consistent_form, inconsistent_values
 from skein.llm.leakage import leaks, without_leaks
 from skein.llm.mixing import mix, mix_report, token_counts
@@ -88,7 +89,24 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return mix_report(mix(tokens, targets), tokens, targets)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_repaired, p6_found, p6_items, p6_clean, p7_mix, p7_report)}
+def _scores(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return abuse_scores(documents, fit(documents, table(spark, folder, "labels")))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _scores(spark, folder).where(F.col("score") >= THRESHOLD).select("doc_id").distinct()
+
+
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return _scores(spark, folder)
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse_rates(_scores(spark, folder))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_repaired, p6_found, p6_items, p6_clean, p7_mix, p7_report, p8_found, p8_scores, p8_rates)}
 
 def _words() -> str:
     """A text's words as the operators see them, in the oracle's SQL."""
