@@ -74,5 +74,5 @@ def test_held_out_accuracy_and_rows(spark):
 def test_nothing_to_learn_from(spark):
     w = train([("текст", 0)])
     documents = spark.createDataFrame([], "doc_id bigint, text string, source string")
-    assert abuse_scores(documents, w).count() == 0 and set(w) == set(gru.new_weights(0))
+    assert abuse_scores(documents, w).count() == 0 and set(w) == set(gru.new_weights(0)) and w["c"][0] == -20
     assert all((a == b).all() for a, b in zip(train(corpus(60, 3)).values(), train(corpus(60, 3)).values()))
