@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skein.plans import orphan_queries
+from skein.plans import orphan_queries, retrieval_queries
 
-_MODULES = (orphan_queries,)
+_MODULES = (retrieval_queries, orphan_queries)
 
 
 def queries() -> dict:
