@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from skein.functions.folding import BLANKS
 
 _NUMBER = r"(?:[A-Za-zА-Яа-яЁё]\.)?[0-9]+(?:\.[0-9]+)*"
+#: Any blanks, in words that both Java and RE2 know.
+ANY_BLANKS = r"[\s" + BLANKS + "]*"
 # Labels of references in running text, and what is read as each.
 REFERENCES = {
-    "п.": r"(?iuU)(?<![\p{L}])п(?:ункт[а-яё]*|\.)\s*(" + _NUMBER + ")",
-    "разд.": r"(?iuU)(?<![\p{L}])разд(?:ел[а-яё]*|\.)\s*(" + _NUMBER + ")",
-    "табл.": r"(?iuU)(?<![\p{L}])табл(?:иц[а-яё]*|\.)\s*(" + _NUMBER + ")",
+    label: r"(?iu)(?<![\p{L}])" + word + ANY_BLANKS + f"({_NUMBER})"
+    for label, word in {"п.": r"п(?:ункт[а-яё]*|\.)", "разд.": r"разд(?:ел[а-яё]*|\.)", "табл.": r"табл(?:иц[а-яё]*|\.)"}.items()
 }
-TABLE_CAPTION = r"(?iuU)(?:таблиц\w*|табл\.?|table)\s*(" + _NUMBER + ")"
-IMAGE_CAPTION = r"(?iuU)(?:рисун\w*|рис\.?|fig(?:ure)?\.?|изображени\w*)\s*(" + _NUMBER + ")"
+TABLE_CAPTION = r"(?iu)(?:таблиц[\p{L}\p{N}_]*|табл\.?|table)" + ANY_BLANKS + f"({_NUMBER})"
+IMAGE_CAPTION = r"(?iu)(?:рисун[\p{L}\p{N}_]*|рис\.?|fig(?:ure)?\.?|изображени[\p{L}\p{N}_]*)" + ANY_BLANKS + f"({_NUMBER})"
 # Cyrillic letters and their Latin spelling in slugs.
 SLUG_ONE, SLUG_AS = "абвгдезийклмнопрстуфхыэ", "abvgdeziyklmnoprstufhye"
 SLUG_MORE = {"ё": "e", "ж": "zh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "sch", "ю": "yu", "я": "ya", "ъ": "", "ь": ""}

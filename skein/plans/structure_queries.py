@@ -126,11 +126,11 @@ _N = r"(?:[A-Za-zА-Яа-яЁё]\.)?\d+(?:\.\d+)*"
 
 
 def _found(label: str, pattern: str) -> str:
-    return f"list_transform(regexp_extract_all(text, '(?i)(?:^|[^\\p{{L}}]){pattern}\\s*({_N})', 1), lambda x: '{label} ' || x)"
+    return f"list_transform(regexp_extract_all(text, '(?i)(?:^|[^\\p{{L}}]){pattern}{T.ANY_BLANKS}({_N})', 1), lambda x: '{label} ' || x)"
 
 
 def _assets(kind: str, words: str) -> str:
-    return f"SELECT result_id, '{kind}' AS asset_type, lower(unnest(regexp_extract_all(text, '(?i)(?:{words})\\s*({_N})', 1))) AS number FROM search_results"
+    return f"SELECT result_id, '{kind}' AS asset_type, lower(unnest(regexp_extract_all(text, '(?i)(?:{words}){T.ANY_BLANKS}({_N})', 1))) AS number FROM search_results"
 
 
 def _slug(c: str) -> str:
