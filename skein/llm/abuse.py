@@ -125,6 +125,14 @@ def _evidence(grid: np.ndarray, mask: np.ndarray, owner: np.ndarray, label: np.n
     return np.sort(odds, 1)[:, -3:].sum(1)
 
 
+def _sum_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of their rows of values."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ordered[first], np.add.reduceat(values[order], first).astype(np.float32)
+
+
 class _Optimiser:
     """Adam for the dense weights, per-row Adagrad for the hashed tables."""
 
@@ -142,9 +150,7 @@ class _Optimiser:
             self.w[k] -= self.rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.999**self.step)) + 1e-8)
 
     def table_step(self, name: str, rows: np.ndarray, grad: np.ndarray) -> None:
-        unique, back = np.unique(rows, return_inverse=True)
-        total = np.zeros((len(unique), grad.shape[1]), np.float32)
-        np.add.at(total, back, grad)
+        unique, total = _sum_by(rows, grad)
         self.squares[name][unique] += (total**2).mean(1)
         self.w[name][unique] -= 0.1 * total / np.sqrt(self.squares[name][unique])[:, None]
 
@@ -160,8 +166,7 @@ def _epoch(w: dict, best: _Optimiser, vocabulary: _Vocabulary, grid: np.ndarray,
         kept[..., : gru.WORD_DIM] = rng.random((*at.shape, 1)) > 0.3
         grad, dx, _ = gru.gradients(w, vectors[at] * kept, mask[part], y[part], weight[part])
         best.dense_step(grad)
-        dv = np.zeros_like(vectors)
-        np.add.at(dv, at.ravel(), (dx * kept * mask[part][..., None]).reshape(-1, gru.IN))
+        dv = _sum_by(at.ravel(), (dx * kept * mask[part][..., None]).reshape(-1, gru.IN))[1]
         words, chars, lengths = vocabulary.rows(ids)
         best.table_step("words", words, dv[:, : gru.WORD_DIM])
         best.table_step("chars", chars, np.repeat(dv[:, gru.WORD_DIM :] / lengths[:, None], lengths, 0))
