@@ -15,7 +15,7 @@ from skein.operators.retrieval import top_k
 from skein.operators.sessions import last_turns, search_loop
 from skein.plans.orphan_queries import _key
 from skein.session import table
-from skein.streaming.ingest import ingest_latest, open_files
+from skein.streaming.ingest import ingest_latest, ingested, open_files
 
 
 def validate_chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,7 +95,7 @@ def ingest_stream(spark: SparkSession, folder: str) -> DataFrame:
     place = f"{shared}/ingest-{uuid.uuid4().hex}"
     rows = open_files(spark, f"{folder}/search_results.parquet").select("chunk_id", "result_id", "query_id", "document_id", "logged_at", "score")
     ingest_latest(rows, f"{place}/rows", f"{place}/progress", "chunk_id", ["logged_at", "result_id"])
-    return spark.read.parquet(f"{place}/rows").drop("bucket")
+    return ingested(spark, f"{place}/rows", rows)
 
 
 QUERIES = {

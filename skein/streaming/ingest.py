@@ -14,6 +14,18 @@ def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).withColumn("__turn", turn).where("__turn = 1").drop("__turn")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def ingested(spark: SparkSession, target: str, like: DataFrame) -> DataFrame:
+    """What ingest_latest holds in ``target``, in the columns of ``like``; empty if nothing has come yet."""
+    if not _exists(spark, target):
+        return spark.createDataFrame([], like.schema)
+    return spark.read.parquet(target).select(*like.columns)
+
+
 def open_files(spark: SparkSession, path: str) -> DataFrame:
     """A stream of the Parquet file or folder of files at ``path``; the schema is the one it has now."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -37,8 +49,7 @@ def ingest_latest(stream: DataFrame, target: str, checkpoint: str, key: str, ord
         touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
         if not touched:
             return
-        place = spark._jvm.org.apache.hadoop.fs.Path(target)
-        if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        if _exists(spark, target):
             new = new.unionByName(spark.read.parquet(target).where(F.col("bucket").isin(touched)).select(*new.columns))
         merged = cut_lineage(latest(new, key, order))
         merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
