@@ -111,5 +111,5 @@ def mix_report(mixed: DataFrame, tokens: DataFrame, targets: DataFrame, toleranc
     uses = mixed.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("uses"), F.sum("n_tokens").alias("n"))
     used = uses.groupBy("source").agg(F.sum("n").alias("tokens_used"), F.max("uses").alias("most_uses"), F.count(F.lit(1)).alias("documents_used"))
     out = goals.join(there, "source", "left").join(used, "source", "left").na.fill(0, ["tokens_there", "tokens_used", "most_uses", "documents_used"])
-    share = F.col("tokens_used") / F.sum("tokens_used").over(Window.partitionBy())
+    share = F.try_divide("tokens_used", F.sum("tokens_used").over(Window.partitionBy()))
     return out.withColumn("actual_share", F.coalesce(share, F.lit(0.0))).withColumn("met", F.abs(F.col("actual_share") - F.col("target_share")) <= tolerance)
