@@ -38,19 +38,23 @@ _SOUND = re.compile("|".join(_SOUNDS))
 _ALL_LATIN = re.compile(r"[a-z*_@#$]+")
 
 
-def normal_words(text: str) -> list[str]:
+class _Spelling(dict):
+    """A token's one spelling, made once and dropped when too many are held."""
+
+    def __missing__(self, token: str) -> str:
+        if len(self) > 300_000:
+            self.clear()
+        low = token.lower()
+        low = _SOUND.sub(lambda m: _SOUNDS[m[0]], low) if _ALL_LATIN.fullmatch(low) else word_skeleton(token)
+        self[token] = out = re.sub(r"\d+", "0", _REPEAT.sub(r"\1", low.replace("ё", "е")))
+        return out
+
+
+def normal_words(text: str, spelling: _Spelling | None = None) -> list[str]:
     """A text's words in one spelling: no case, no look-alikes, no stretched or set-apart letters, Latin by sound."""
     text = _APART.sub(lambda m: re.sub(r"[ .*_-]", "", m[0]), fold_text(text))
-    out = []
-    for token in _TOKEN.findall(text):
-        if token.isdigit():
-            token = "0"
-        else:
-            low = token.lower()
-            low = _SOUND.sub(lambda m: _SOUNDS[m[0]], low) if _ALL_LATIN.fullmatch(low) else word_skeleton(token)
-            token = re.sub(r"\d+", "0", _REPEAT.sub(r"\1", low.replace("ё", "е")))
-        out.append(token)
-    return out
+    spelling = _Spelling() if spelling is None else spelling
+    return [spelling[token] for token in _TOKEN.findall(text)]
 
 
 def _features(word: str) -> tuple[int, list[int]]:
@@ -185,8 +189,9 @@ def train(labelled: list[tuple[str, int]], seed: int = 7, rounds: int = 3, epoch
     vocabulary = _Vocabulary()
     ids, of, labels = [], [], []
     counted: list[tuple[int, set[int]]] = []
+    spelling = _Spelling()
     for text, label in labelled:
-        words = [vocabulary.id(x) for x in normal_words(text or "")]
+        words = [vocabulary.id(x) for x in normal_words(text or "", spelling)]
         for a, b in windows(words):
             ids.append(words[a:b])
             of.append(len(labels))
@@ -242,7 +247,7 @@ class _Projected(dict):
 
 def _score(batches: Iterator[pa.RecordBatch], weights: Broadcast) -> Iterator[pa.RecordBatch]:
     w = weights.value
-    inputs = _Projected(w)
+    inputs, spelling = _Projected(w), _Spelling()
     empty = np.zeros(6 * gru.HIDDEN, np.float32)
     for batch in batches:
         n = batch.num_rows
@@ -263,11 +268,11 @@ def _score(batches: Iterator[pa.RecordBatch], weights: Broadcast) -> Iterator[pa
             held.clear()
 
         for row, text in enumerate(batch.column("text").to_pylist()):
-            words = normal_words(text or "")
+            words = normal_words(text or "", spelling)
             for a, b in windows(words):
                 count[row] += 1
                 held.append((row, a, words[a:b]))
-                if len(held) >= 4096:
+                if len(held) >= 1024:
                     flush()
         flush()
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(best.astype(np.float64)), pa.array(count), pa.array(where)], ["doc_id", "source", "score", "n_windows", "worst_word"])
