@@ -68,7 +68,7 @@ def document_type(document_id: Column) -> Column:
 
 def edition(document_id: Column) -> Column:
     """The year at the end of a designation: four digits as they are, two digits with 50 as the turn."""
-    last = F.element_at(F.regexp_extract_all(document_id, F.lit(r"\d+"), F.lit(0)), -1)
+    last = F.try_element_at(F.regexp_extract_all(document_id, F.lit(r"\d+"), F.lit(0)), F.lit(-1))
     century = F.when(last.cast("int") < 50, "20").otherwise("19")
     return F.when(F.length(last) == 4, last).when(F.length(last) == 2, F.concat(century, last))
 
