@@ -5,9 +5,11 @@
 2. Each pair of neighbouring retained values has an inverted list of the classes that retain both. (Lists
    of single values grow with every stock phrase; neighbours among the smallest values are shared by
    chance far less, and by similar sets nearly as often.) Lists of up to ``long_list`` classes give all
-   their pairs. Longer lists (very many versions of one text) give each class the pair with the list's
-   first class and with the one before it: as many pairs as the list is long. A batch cuts such lists
-   before the shuffle, so no task meets more of a hot list than a few entries per batch.
+   their pairs. A batch cuts longer lists before the shuffle, so no task meets more of a hot list than a
+   few entries per batch; what is left of them names the long lists (and pairs each class with the list's
+   first class and with the one before it). Their whole entries are then compared in salted blocks, block
+   against block. Lists of more than ``BLOCK`` classes are first split by the other pairs of neighbours
+   that a class retains, so that classes with nothing but a stock phrase in common do not meet.
 3. Pairs that meet in fewer than ``least_lists`` lists fall away unless a set is small; for the rest
    the sketch of the union is estimated, and what may reach the threshold is compared exactly, on whole
    sets made from the whole texts.
@@ -31,6 +33,8 @@ from skein.session import cut_lineage
 K = 24
 LONG_LIST = 64
 LEAST_LISTS = 2
+#: Classes in a block of a long list: the most that a task holds is about twice as many sketches.
+BLOCK = 512
 #: What the estimate may fall short of the threshold: three standard errors of a sketch of K values.
 MARGIN = 0.28
 _SIGN, _STEP = np.uint64(1 << 63), np.uint64(0x9E3779B97F4A7C15)
@@ -90,17 +94,19 @@ def _pairs_of_runs(value: np.ndarray, who: np.ndarray, size: np.ndarray, long_li
     return np.minimum(a, b), np.maximum(a, b), np.where(small, LEAST_LISTS, 1).astype(np.int32)
 
 
+def _neighbours(sketch: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of neighbours within each sketch, sketch after sketch, and how many each has; the last value of a sketch has no neighbour."""
+    lengths = np.diff(sketch.offsets.to_numpy())
+    flat = sketch.flatten().to_numpy().view(np.uint64)
+    inner = np.ones(len(flat), bool)
+    inner[np.cumsum(lengths)[lengths > 0] - 1] = False
+    return (flat * _STEP ^ np.roll(flat, -1))[inner].view(np.int64), np.maximum(lengths - 1, 0)
+
+
 def _entries(batches: Iterator[pa.RecordBatch], long_list: int, least: float) -> Iterator[pa.RecordBatch]:
     """Entries of the inverted lists of neighbouring values, and pairs of lists that are long within one batch already."""
     for batch in batches:
-        sketch = batch.column("sketch")
-        lengths = np.diff(sketch.offsets.to_numpy())
-        flat = sketch.flatten().to_numpy().view(np.uint64)
-        # Neighbours within one sketch; the last value of a sketch has none.
-        inner = np.ones(len(flat), bool)
-        inner[np.minimum(np.cumsum(lengths) - 1, len(flat) - 1)] = False
-        value = (flat * _STEP ^ np.roll(flat, -1))[inner].view(np.int64)
-        lengths = np.maximum(lengths - 1, 0)
+        value, lengths = _neighbours(batch.column("sketch"))
         who = np.repeat(batch.column("id").to_numpy(), lengths)
         size = np.repeat(batch.column("size").to_numpy(), lengths)
         order = np.lexsort((who, value))
@@ -125,11 +131,16 @@ def _entries(batches: Iterator[pa.RecordBatch], long_list: int, least: float) ->
 
 
 def _meet(batches: Iterator[pa.RecordBatch], long_list: int, least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs from a partition sorted by value and id. Carries only the list at the end of a batch over."""
+    """Pairs from a partition sorted by value and id, and each long list's value without a b. Carries only the list at the end of a batch over."""
     held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
 
     def out(value: np.ndarray, who: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in _pairs_of_runs(value, who, size, long_list, least)], ["a", "b", "weight"])
+        a, b, weight = _pairs_of_runs(value, who, size, long_list, least)
+        lists, lengths = np.unique(value, return_counts=True)
+        lists = lists[lengths > long_list]
+        none = np.arange(len(a) + len(lists)) >= len(a)
+        a, b, weight = np.concatenate([a, lists]), np.concatenate([b, lists]), np.concatenate([weight, np.full(len(lists), LEAST_LISTS, np.int32)])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=none), pa.array(weight, pa.int32())], ["a", "b", "weight"])
 
     for batch in batches:
         now = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("value", "id", "size"))]
@@ -145,6 +156,60 @@ def _meet(batches: Iterator[pa.RecordBatch], long_list: int, least: float) -> It
     yield out(*held)
 
 
+def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All entries of the inverted lists."""
+    for batch in batches:
+        value, lengths = _neighbours(batch.column("sketch"))
+        rows = pa.array(np.repeat(np.arange(batch.num_rows), lengths))
+        yield pa.RecordBatch.from_arrays([pa.array(value), batch.column("id").take(rows), batch.column("size").take(rows)], ["value", "id", "size"])
+
+
+def _split(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Entries of a list split by what else the class retains; small sets, which need not meet twice, are also kept together."""
+    for batch in batches:
+        other, lengths = _neighbours(batch.column("sketch"))
+        rows = np.repeat(np.arange(batch.num_rows), lengths)
+        value = batch.column("value").to_numpy()
+        here = value[rows]
+        low, high = np.minimum(here, other).view(np.uint64), np.maximum(here, other).view(np.uint64)
+        key = ((low ^ (low >> np.uint64(31))) * _STEP + high) * _STEP
+        small = np.flatnonzero(batch.column("size").to_numpy() * least < K // 2)
+        rows, key = np.concatenate([rows[here != other], small]), np.concatenate([key[here != other].view(np.int64), value[small]])
+        rows = pa.array(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("id").take(rows), batch.column("size").take(rows)], ["value", "id", "size"])
+
+
+def _compare_blocks(group: pa.Table, k: int, least: float, threshold: float) -> pa.Table:
+    """Pairs of two blocks of a list (or of one with itself) whose union's sketch may come from sets similar enough."""
+    group = group.combine_chunks().sort_by("id")
+    who, size, block = (group.column(c).to_numpy() for c in ("id", "size", "block"))
+    sketch = group.column("sketch").chunk(0)
+    lengths = np.diff(sketch.offsets.to_numpy())
+    known, ranks = np.unique(sketch.flatten().to_numpy(), return_inverse=True)
+    # One row a class, filled up with a value that no sketch has.
+    table = np.full((len(who), max([k, *lengths])), len(known))
+    table[np.arange(table.shape[1]) < lengths[:, None]] = ranks
+    place, column = np.full(len(known) + 1, -1), np.arange(table.shape[1])
+    one = (block == block[0]).all()
+    a, b = [], []
+    for i in range(len(who) - 1):
+        near = np.minimum(size[i], size[i + 1 :]) >= threshold * np.maximum(size[i], size[i + 1 :])
+        j = i + 1 + np.flatnonzero(near & (one | (block[i + 1 :] != block[i])) & (who[i + 1 :] != who[i]))
+        own = table[i, : lengths[i]]
+        place[own] = np.arange(len(own))
+        at = place[table[j]]
+        place[own] = -1
+        common = at >= 0
+        before = np.cumsum(common, axis=1) - common
+        both = (common & (at + column - before < k)).sum(axis=1)
+        union = np.minimum(k, lengths[i] + lengths[j] - common.sum(axis=1))
+        j = j[both >= least * union]
+        a.append(np.full(len(j), who[i]))
+        b.append(who[j])
+    none = [np.zeros(0, np.int64)]
+    return pa.table({"a": np.concatenate(a or none).astype(np.int64), "b": np.concatenate(b or none).astype(np.int64)})
+
+
 def _full_sets(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
     numbers = WordNumbers()
     for batch in batches:
@@ -167,21 +232,61 @@ def _estimate(batches: Iterator[pa.RecordBatch], k: int, least: float) -> Iterat
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def links(texts: DataFrame, reps: DataFrame, threshold: float, run: int, k: int, long_list: int, least_lists: int, margin: float) -> DataFrame:
+def _met(entries: DataFrame, long_list: int, threshold: float) -> DataFrame:
+    entries = entries.select("value", "id", "size").repartition("value").sortWithinPartitions("value", "id")
+    return entries.mapInArrow(partial(_meet, long_list=long_list, least=threshold), "a bigint, b bigint, weight int")
+
+
+def _long_lists(met: DataFrame) -> DataFrame:
+    return met.where("b IS NULL").select(F.col("a").alias("value")).distinct()
+
+
+def _block_pairs(entries: DataFrame, counts: DataFrame, reps: DataFrame, k: int, least: float, threshold: float, block: int) -> DataFrame:
+    """Pairs within whole lists, by blocks of classes: every block of a list meets every other."""
+    blocks = entries.join(counts, "value").select("value", "id", "size", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    blocks = blocks.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = blocks.join(reps.select("id", "sketch"), "id").withColumns({"x": F.least("block", "with"), "y": F.greatest("block", "with")})
+    groups = blocks.select("value", "x", "y", "id", "size", "block", "sketch").groupBy("value", "x", "y")
+
+    def compare(group: pa.Table) -> pa.Table:
+        return _compare_blocks(group, k, least, threshold)
+
+    return groups.applyInArrow(compare, "a bigint, b bigint")
+
+
+def _pairs_of_long_lists(reps: DataFrame, lists: DataFrame, threshold: float, k: int, long_list: int, margin: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of lists longer than ``long_list``: those yet to be estimated, and those that passed the estimate."""
+    compare = {"k": k, "least": threshold - margin, "threshold": threshold, "block": block}
+    whole = cut_lineage(reps.mapInArrow(_whole_lists, "value bigint, id bigint, size int").join(lists, "value", "left_semi"))
+    counts = whole.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    near = _block_pairs(whole, counts.where(F.col("n") <= block), reps, **compare)
+    longest = whole.join(counts.where(F.col("n") > block), "value", "left_semi").join(reps.select("id", "sketch"), "id")
+    parts = longest.mapInArrow(partial(_split, least=threshold), "value bigint, id bigint, size int").distinct()
+    met = cut_lineage(_met(parts, long_list, threshold).select("a", "b").distinct())
+    still_long = parts.join(_long_lists(met), "value", "left_semi")
+    sizes = still_long.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    near = near.unionByName(_block_pairs(still_long, sizes, reps, **compare))
+    return met.where("b IS NOT NULL"), near.distinct()
+
+
+def links(texts: DataFrame, reps: DataFrame, threshold: float, run: int, k: int, long_list: int, least_lists: int, margin: float, block: int = BLOCK) -> DataFrame:
     """Pairs a < b of class representatives whose sets have at least ``threshold`` of their union in common."""
     rows = reps.mapInArrow(partial(_entries, long_list=long_list, least=threshold), "value bigint, id bigint, size int, other bigint")
     # Made twice from the stored sketches, which costs less than storing the entries.
-    entries = rows.where("other IS NULL").repartition("value").sortWithinPartitions("value", "id")
-    met = entries.select("value", "id", "size").mapInArrow(partial(_meet, long_list=long_list, least=threshold), "a bigint, b bigint, weight int")
-    pairs = met.unionByName(rows.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"), F.col("size").alias("weight"))).where("a < b")
+    met = _met(rows.where("other IS NULL"), long_list, threshold)
+    pairs = met.unionByName(rows.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"), F.col("size").alias("weight"))).where("b IS NULL OR a < b")
     pairs = pairs.groupBy("a", "b").agg(F.sum("weight").alias("n_lists"))
-    pairs = pairs.where(F.col("n_lists") >= least_lists).select("a", "b")
+    pairs = cut_lineage(pairs.where(F.col("n_lists") >= least_lists).select("a", "b"))
+    more, passed = _pairs_of_long_lists(reps, _long_lists(pairs), threshold, k, long_list, margin, block)
     near = (
-        pairs.join(reps.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
+        pairs.where("b IS NOT NULL").unionByName(more).distinct()
+        .join(reps.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
         .join(reps.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
         .select("a", "b", "sketch_a", "sketch_b")
         .mapInArrow(partial(_estimate, k=k, least=threshold - margin), "a bigint, b bigint")
     )
+    near = near.unionByName(passed).distinct()
     near = cut_lineage(near)
     asked = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = cut_lineage(texts.join(asked, "id", "left_semi").mapInArrow(partial(_full_sets, run=run), "id bigint, runs array<bigint>"))

@@ -122,3 +122,41 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 103)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100}
+
+
+def degrees(texts, threshold, n):
+    sets = {i: s for i, t in texts.items() if (s := runs(t, n))}
+    classes = {s: min(i for i in sets if sets[i] == s) for s in set(sets.values())}
+    links = {(a, b) for s, a in classes.items() for t, b in classes.items() if a != b and len(s & t) >= threshold * len(s | t)}
+    return {i: sum(a == classes[s] for a, _ in links) for i, s in sets.items()}
+
+
+def test_long_lists_of_versions_with_several_edits(spark):
+    # 350 versions of one text, most of them similar to some others only, and a stock phrase in 80 other texts.
+    rng = random.Random(7)
+    base = [f"слово{i}" for i in range(120)]
+    texts = {}
+    for i in range(350):
+        words = list(base)
+        for at in rng.sample(range(120), rng.choice([2, 4, 6, 8, 9])):
+            words[at] = f"правка{i}_{at}"
+        texts[i] = " ".join(words)
+    texts |= {1000 + i: " ".join([f"прочее{i}_{j}" for j in range(20)] + base[:5]) for i in range(80)}
+    df = spark.createDataFrame(list(texts.items()), "id bigint, text string")
+    found = near_duplicate_groups(df, "id", "text", threshold=0.7, run=3, margin=0.47).collect()
+    assert {r.id: r.group_id for r in found} == brute(texts, 0.7, 3)
+    assert {r.id: r.n_links for r in found} == degrees(texts, 0.7, 3)
+
+
+def test_longest_lists_are_split_and_compared_in_blocks(spark, monkeypatch):
+    import skein.llm.near_duplicates as module
+
+    links = module.links
+    monkeypatch.setattr(module, "links", lambda *a: links(*a, block=20))
+    rng = random.Random(9)
+    base = [f"слово{i}" for i in range(60)]
+    texts = {i: " ".join(w if rng.random() > 0.06 else f"правка{i}_{j}" for j, w in enumerate(base)) for i in range(100)}
+    texts |= {1000 + i: " ".join(["а", "б", "в", "г", "д", "е", f"ж{i}"]) for i in range(90)}
+    df = spark.createDataFrame(list(texts.items()), "id bigint, text string")
+    found = near_duplicate_groups(df, "id", "text", threshold=0.7, run=3, long_list=8, margin=0.47).collect()
+    assert {r.id: r.group_id for r in found} == brute(texts, 0.7, 3)
