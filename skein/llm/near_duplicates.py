@@ -35,8 +35,8 @@ LONG_LIST = 64
 LEAST_LISTS = 2
 #: Classes in a block of a long list: the most that a task holds is about twice as many sketches.
 BLOCK = 512
-#: What the estimate may fall short of the threshold: three standard errors of a sketch of K values.
-MARGIN = 0.28
+#: What the estimate may fall short of the threshold: five standard errors of a sketch of K values.
+MARGIN = 0.47
 _SIGN, _STEP = np.uint64(1 << 63), np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from skein.functions.folding import WORD, fold_text, word_skeleton
-from skein.llm.near_duplicates import _entries, _meet, components, near_duplicate_groups, pairs_within_groups
+from skein.llm.near_duplicates import MARGIN, _entries, _estimate, _meet, components, near_duplicate_groups, pairs_within_groups
 from skein.llm.shingles import WordNumbers, run_numbers
 
 
@@ -160,3 +160,13 @@ def test_longest_lists_are_split_and_compared_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame(list(texts.items()), "id bigint, text string")
     found = near_duplicate_groups(df, "id", "text", threshold=0.7, run=3, long_list=8, margin=0.47).collect()
     assert {r.id: r.group_id for r in found} == brute(texts, 0.7, 3)
+
+
+def test_estimate_keeps_similar_sets_with_unlike_sketches():
+    # Of 100 values 30 are in one set only, 14 of them among the 24 smallest: Jaccard 0.7, estimate 10 of 24.
+    alone = [*range(14), *range(50, 66)]
+    both = [v for v in range(100) if v not in alone]
+    sketches = [pa.array([sorted(both + alone[i::2])[:24]], pa.list_(pa.int64())) for i in (0, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), *sketches], ["a", "b", "sketch_a", "sketch_b"])
+    assert sum(b.num_rows for b in _estimate(iter([batch]), 24, 0.7 - MARGIN)) == 1
+    assert sum(b.num_rows for b in _estimate(iter([batch]), 24, 0.7 - 0.28)) == 0
