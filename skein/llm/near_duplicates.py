@@ -2,18 +2,17 @@
 
 1. Every text becomes the set of its word runs under one hash function; the k smallest values are its
    sketch. Texts with equal sets are one class from here on.
-2. Each pair of neighbouring retained values has an inverted list of the classes that retain both. (Lists
-   of single values grow with every stock phrase; neighbours among the smallest values are shared by
-   chance far less, and by similar sets nearly as often.) Lists of up to ``long_list`` classes give all
-   their pairs. A batch cuts longer lists before the shuffle, so no task meets more of a hot list than a
-   few entries per batch; what is left of them names the long lists (and pairs each class with the list's
-   first class and with the one before it). Their whole entries are then compared in salted blocks, block
-   against block. Lists of more than ``BLOCK`` classes are first split by the other pairs of neighbours
-   that a class retains, so that classes with nothing but a stock phrase in common do not meet.
-3. Pairs that meet in fewer than ``least_lists`` lists fall away unless a set is small; for the rest
-   the sketch of the union is estimated, and what may reach the threshold is compared exactly, on whole
-   sets made from the whole texts.
-4. Connected classes form groups.
+2. Similar sets retain at least ``t`` values in common. Each class therefore enters the inverted lists of
+   its k - t + 1 rarest retained values only: two classes with t common values meet in at least one. How
+   rare a value is says a table of fixed size, counted over all sketches.
+3. An entry carries its class's sketch in short form. Within each list the common values are counted
+   through a second, local inverted index, again by the locally rarest values; what shares t values has
+   the sketch of its union estimated on the spot, and only pairs that may reach the threshold leave the task.
+4. A list that would be too long for a task is split by a second retained value (similar sets have at
+   least two in common among their k - t + 2 rarest), and what is still too long, versions of one text,
+   is met block against block. Nothing is cut off: every pair with t common values meets.
+5. Candidates are compared exactly, on whole sets made from the whole texts. Links are all of them;
+   groups leave out pairs that verified links have joined already.
 """
 
 from __future__ import annotations
@@ -24,20 +23,27 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.shingles import WordNumbers, run_numbers
 from skein.session import cut_lineage
 
-K = 24
-LONG_LIST = 64
-LEAST_LISTS = 2
-#: Classes in a block of a long list: the most that a task holds is about twice as many sketches.
-BLOCK = 512
-#: What the estimate may fall short of the threshold: five standard errors of a sketch of K values.
-MARGIN = 0.47
-_SIGN, _STEP = np.uint64(1 << 63), np.uint64(0x9E3779B97F4A7C15)
+K = 20
+#: How far the share of common retained values, and that of the union's sketch, may stay under the threshold.
+SLACK, MARGIN = 0.3, 0.4
+#: Entries of one list that a task meets at most (more where the average list is long).
+LIST_ROWS = 20_000
+#: Candidates per class that are compared whatever the links found so far.
+FIRST_PARTNERS = 8
+#: Rows of a group that one task pairs with the whole group.
+SLICE = 2_000
+_SHORT = 1 << 16
+#: Bytes of an entry before the sketch: id, size, side. An entry of the side ANY meets every other.
+_FIXED, _ANY = 11, 2
+_SIGN, _STEP, _MIX = np.uint64(1 << 63), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_PAIRS_AT_ONCE, _ENTRIES_AT_ONCE = 20_000, 30_000
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -71,143 +77,228 @@ def _sketch(batches: Iterator[pa.RecordBatch], run: int, k: int) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([ids, pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), _lists(sketches, pa.int64())], ["id", "print", "size", "sketch"])
 
 
-def _pairs_of_runs(value: np.ndarray, who: np.ndarray, size: np.ndarray, long_list: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs from entries sorted by value and id, and what each counts for: all that is needed where a set is small."""
-    n = len(value)
-    new = np.concatenate([[True], value[1:] != value[:-1]]) if n else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    length = np.diff(np.concatenate([first, [n]]))
-    start, long = np.repeat(first, length), np.repeat(length > long_list, length)
-    a, b = [], []
-    for step in range(1, min(long_list, n)):
-        i = np.arange(n - step)
-        hit = (start[i] == start[i + step]) & (~long[i] if step > 1 else True)
-        a.append(i[hit])
-        b.append(i[hit] + step)
-    i = np.flatnonzero(long & (np.arange(n) - start > 1))
-    a.append(start[i])
-    b.append(i)
-    a, b = np.concatenate(a), np.concatenate(b)
-    near = np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b])
-    small = np.minimum(size[a[near]], size[b[near]]) < K // 2
-    a, b = who[a[near]], who[b[near]]
-    return np.minimum(a, b), np.maximum(a, b), np.where(small, LEAST_LISTS, 1).astype(np.int32)
-
-
-def _neighbours(sketch: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """The values of neighbours within each sketch, sketch after sketch, and how many each has; the last value of a sketch has no neighbour."""
-    lengths = np.diff(sketch.offsets.to_numpy())
-    flat = sketch.flatten().to_numpy().view(np.uint64)
-    inner = np.ones(len(flat), bool)
-    inner[np.cumsum(lengths)[lengths > 0] - 1] = False
-    return (flat * _STEP ^ np.roll(flat, -1))[inner].view(np.int64), np.maximum(lengths - 1, 0)
-
+def _needed(size: np.ndarray, k: int, threshold: float) -> np.ndarray:
+    """Retained values that a set has in common with any similar one: by whole sets where these are small."""
+    return np.minimum(int(k * (threshold - SLACK) + 1e-9), np.ceil(threshold * size - 1e-9)).astype(np.int64)
 
-def _entries(batches: Iterator[pa.RecordBatch], long_list: int, least: float) -> Iterator[pa.RecordBatch]:
-    """Entries of the inverted lists of neighbouring values, and pairs of lists that are long within one batch already."""
-    for batch in batches:
-        value, lengths = _neighbours(batch.column("sketch"))
-        who = np.repeat(batch.column("id").to_numpy(), lengths)
-        size = np.repeat(batch.column("size").to_numpy(), lengths)
-        order = np.lexsort((who, value))
-        value, who, size = value[order], who[order], size[order]
-        new = np.concatenate([[True], value[1:] != value[:-1]]) if len(value) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        length = np.diff(np.concatenate([first, [len(value)]]))
-        start, long = np.repeat(first, length), np.repeat(length > long_list, length)
-        place = np.arange(len(value)) - start
-        a, b, weight = _pairs_of_runs(value[long], who[long], size[long], long_list, least)
-        # The last entry goes on too: the next batch's first is its neighbour.
-        stay = ~long | (place <= long_list)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([value[stay], np.zeros(len(a), np.int64)])),
-                pa.array(np.concatenate([who[stay], a])),
-                pa.array(np.concatenate([size[stay], weight]), pa.int32()),
-                pa.array(np.concatenate([np.zeros(int(stay.sum()), np.int64), b]), mask=np.arange(int(stay.sum()) + len(a)) < int(stay.sum())),
-            ],
-            ["value", "id", "size", "other"],
-        )
-
-
-def _meet(batches: Iterator[pa.RecordBatch], long_list: int, least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs from a partition sorted by value and id, and each long list's value without a b. Carries only the list at the end of a batch over."""
-    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
-
-    def out(value: np.ndarray, who: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-        a, b, weight = _pairs_of_runs(value, who, size, long_list, least)
-        lists, lengths = np.unique(value, return_counts=True)
-        lists = lists[lengths > long_list]
-        none = np.arange(len(a) + len(lists)) >= len(a)
-        a, b, weight = np.concatenate([a, lists]), np.concatenate([b, lists]), np.concatenate([weight, np.full(len(lists), LEAST_LISTS, np.int32)])
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=none), pa.array(weight, pa.int32())], ["a", "b", "weight"])
 
+def _table(sketch: pa.ListArray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """One row a sketch, filled up with zeros, and how many values each has."""
+    lengths = np.diff(sketch.offsets.to_numpy())
+    table = np.zeros((len(lengths), k), np.int64)
+    table[np.arange(k) < lengths[:, None]] = sketch.flatten().to_numpy()
+    return table, lengths
+
+
+def _short(values: np.ndarray) -> np.ndarray:
+    return (values & (_SHORT - 1)).astype(np.uint16)
+
+
+def _bucket(keys: np.ndarray) -> np.ndarray:
+    return ((keys >> 32) & (_SHORT - 1)).astype(np.int64)
+
+
+def _mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    out = first.view(np.uint64) * _STEP + second.view(np.uint64)
+    out ^= out >> np.uint64(29)
+    out *= _MIX
+    return out ^ (out >> np.uint64(32))
+
+
+def _count_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _counted(_short(batch.column("sketch").flatten().to_numpy()) for batch in batches)
+
+
+def _counted(buckets: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(_SHORT, np.int64)
+    for x in buckets:
+        counts += np.bincount(x, minlength=_SHORT)
+    there = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(counts[there])], ["bucket", "n"])
+
+
+def _dense(counts: DataFrame) -> np.ndarray:
+    """A table of fixed size, whatever the number of rows it was counted over."""
+    out = np.zeros(_SHORT, np.int64)
+    for r in counts.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[r["bucket"]] = r["n"]
+    return out
+
+
+def _first_keys(table: np.ndarray, lengths: np.ndarray, need: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values from the rarest to the most frequent, and which of them a class is listed under: none if it is too small to be similar to another."""
+    k = table.shape[1]
+    rank = np.where(np.arange(k) < lengths[:, None], order[_short(table)], _SHORT)
+    ordered = np.take_along_axis(table, np.argsort(rank, axis=1, kind="stable"), axis=1)
+    listed = (np.arange(k) < (lengths - need + 1)[:, None]) & (need > 2)[:, None]
+    return ordered, listed
+
+
+def _second_keys(ordered: np.ndarray, hot: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and key for each hot value with each later one among the first ``last``."""
+    rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for p in range(ordered.shape[1]):
+        at = np.flatnonzero(hot[:, p])
+        for q in range(p + 1, ordered.shape[1]) if len(at) else ():
+            some = at[q < last[at]]
+            first, second = ordered[some, p], ordered[some, q]
+            low = (_short(second).astype(np.uint64) << np.uint64(16)) | _short(first).astype(np.uint64)
+            rows.append(some)
+            keys.append(((_mixed(first, second) & ~np.uint64(0xFFFFFFFF)) | low | _SIGN).view(np.int64))
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def _keys(batch: pa.RecordBatch, k: int, threshold: float, order: np.ndarray, first: np.ndarray | None, second: np.ndarray | None, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a batch, the lists they enter, and the side they take there (two blocks of a list: 0 and 1). Without ``first``, lists of one value; without ``second``, those of two where one is too long."""
+    table, lengths = _table(batch.column("sketch"), k)
+    need = _needed(batch.column("size").to_numpy(), k, threshold)
+    ordered, listed = _first_keys(table, lengths, need, order)
+    keys = ordered & ~np.int64(np.iinfo(np.int64).min)
+    hot = np.zeros_like(listed) if first is None else listed & (first[_bucket(keys)] > most)
+    rows, columns = np.nonzero(listed & ~hot)
+    one = keys[rows, columns]
+    if first is None:
+        return rows, one, np.full(len(rows), _ANY, np.uint8)
+    rows2, two = _second_keys(ordered, hot, lengths - need + 2)
+    if second is None:
+        return rows2, two, np.full(len(rows2), _ANY, np.uint8)
+    blocks = np.maximum(1, -(-second[_bucket(two)] // most))
+    # A row of a list in several blocks meets each of them.
+    again = np.repeat(np.arange(len(two)), blocks)
+    other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    ids = batch.column("id").to_numpy()[rows2[again]]
+    own = (_mixed(ids, np.full(len(ids), 7, np.int64)) % blocks[again].astype(np.uint64)).astype(np.int64)
+    place = np.minimum(own, other) * (1 << 20) + np.maximum(own, other)
+    split = blocks[again] > 1
+    high = np.where(split, _mixed(two[again], place), two[again].view(np.uint64))
+    whole = (high & ~np.uint64(0xFFFFFFFF)) | (two[again].view(np.uint64) & np.uint64(0xFFFFFFFF)) | _SIGN
+    side = np.where(split & (own != other), (own > other).astype(np.uint8), _ANY)
+    return np.concatenate([rows, rows2[again]]), np.concatenate([one, whole.view(np.int64)]), np.concatenate([np.full(len(rows), _ANY, np.uint8), side])
+
+
+def _count_keys(batches: Iterator[pa.RecordBatch], lists: Broadcast, k: int, threshold: float, most: int) -> Iterator[pa.RecordBatch]:
+    yield from _counted(_bucket(_keys(batch, k, threshold, *lists.value, None, most)[1]) for batch in batches)
+
+
+def _entries(batches: Iterator[pa.RecordBatch], lists: Broadcast, k: int, threshold: float, most: int) -> Iterator[pa.RecordBatch]:
+    """Entries of the inverted lists: key, and id, size and sketch in short form."""
     for batch in batches:
-        now = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("value", "id", "size"))]
-        last = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
-        if len(now[0]) - last > 2 * long_list:
-            # A long list: its pairs so far go out; its first entries stay to say so, and its last as a neighbour.
-            yield out(*now)
-            keep = np.r_[last : last + long_list, len(now[0]) - 1]
-            held = [x[keep] for x in now]
-        else:
-            yield out(*(x[:last] for x in now))
-            held = [x[last:] for x in now]
-    yield out(*held)
-
-
-def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All entries of the inverted lists."""
-    for batch in batches:
-        value, lengths = _neighbours(batch.column("sketch"))
-        rows = pa.array(np.repeat(np.arange(batch.num_rows), lengths))
-        yield pa.RecordBatch.from_arrays([pa.array(value), batch.column("id").take(rows), batch.column("size").take(rows)], ["value", "id", "size"])
-
-
-def _split(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Entries of a list split by what else the class retains; small sets, which need not meet twice, are also kept together."""
+        rows, keys, sides = _keys(batch, k, threshold, *lists.value, most)
+        made = np.zeros((batch.num_rows, _FIXED + 2 * k), np.uint8)
+        made[:, :8] = batch.column("id").to_numpy().astype(np.int64).view(np.uint8).reshape(-1, 8)
+        made[:, 8:10] = np.minimum(batch.column("size").to_numpy(), _SHORT - 1).astype(np.uint16).view(np.uint8).reshape(-1, 2)
+        made[:, _FIXED:] = _short(_table(batch.column("sketch"), k)[0]).view(np.uint8).reshape(-1, 2 * k)
+        for i in range(0, len(rows), _ENTRIES_AT_ONCE):
+            part = made[rows[i : i + _ENTRIES_AT_ONCE]]
+            part[:, 10] = sides[i : i + _ENTRIES_AT_ONCE]
+            at = np.arange(len(part) + 1, dtype=np.int32) * made.shape[1]
+            entry = pa.BinaryArray.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(at), pa.py_buffer(part)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + _ENTRIES_AT_ONCE]), entry], ["key", "entry"])
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin, and how long they are."""
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return first, np.diff(np.concatenate([first, [len(values)]]))
+
+
+def _local_pairs(keys: np.ndarray, short: np.ndarray, lengths: np.ndarray, need: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of entries of one list that have one of their locally rarest values in common, a bounded number at a time."""
+    n, k = short.shape
+    number = np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]])).astype(np.uint64)
+    there = np.arange(k) < lengths[:, None]
+    flat, who = ((number[:, None] << np.uint64(16)) | short)[there], np.repeat(np.arange(n), lengths)
+    order = np.argsort(flat, kind="stable")
+    flat, who = flat[order], who[order]
+    length = _runs(flat)[1]
+    often = np.repeat(length, length)
+    shared = often > 1
+    flat, who, often = flat[shared], who[shared], often[shared]
+    order = np.lexsort((flat, often, who))
+    flat, who = flat[order], who[order]
+    own = np.bincount(who, minlength=n)
+    place = np.arange(len(who)) - np.repeat(np.cumsum(own) - own, own) + (lengths - own)[who]
+    rare = place < (lengths - need + 1)[who]
+    flat, who = flat[rare], who[rare]
+    order = np.argsort(flat, kind="stable")
+    flat, who = flat[order], who[order]
+    first, length = _runs(flat)
+    rest = np.repeat(first + length, length) - np.arange(len(flat)) - 1
+    ends = np.cumsum(rest)
+    at = 0
+    while at < len(flat):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 50 * _PAIRS_AT_ONCE, side="right")))
+        some = rest[at:to]
+        i = np.repeat(np.arange(at, to), some)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(some) - some, some)
+        pairs = np.unique(np.minimum(who[i], who[j]) * n + np.maximum(who[i], who[j]))
+        yield pairs // n, pairs % n
+        at = to
+
+
+def _alike(x: np.ndarray, y: np.ndarray, short: np.ndarray, lengths: np.ndarray, need: np.ndarray, order: np.ndarray, keys: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs have enough values in common, may be similar by the sketch of their union, and meet here in one of their first lists."""
+    k = short.shape[1]
+    column = np.arange(k)
+    p, q = short[x], short[y]
+    same = (p[:, :, None] == q[:, None, :]) & (column < lengths[x][:, None])[:, :, None] & (column < lengths[y][:, None])[:, None, :]
+    common = same.any(axis=2)
+    n = common.sum(axis=1)
+    before = np.cumsum(common, axis=1) - common
+    both = (common & (column + same.argmax(axis=2) - before < k)).sum(axis=1)
+    union = np.minimum(k, lengths[x] + lengths[y] - n)
+    good = (n >= np.maximum(need[x], need[y])) & (both >= np.floor(least * union))
+    # The same pair meets wherever it shares a rare value; three times is enough, in case a short form misleads.
+    rank, key = order[p], keys[x]
+    here = order[key & (_SHORT - 1)]
+    good &= (common & (rank < here[:, None])).sum(axis=1) <= 2
+    two = key < 0
+    if two.any():
+        second = order[(key >> 16) & (_SHORT - 1)]
+        good &= ~two | ((common & (rank > here[:, None]) & (rank < second[:, None])).sum(axis=1) <= 2)
+    return good
+
+
+def _meet(batches: Iterator[pa.RecordBatch], lists: Broadcast, k: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Pairs from a partition of entries sorted by key. Carries only the list at the end of a batch over."""
+    order = lists.value[0]
+    keys, held = np.zeros(0, np.int64), np.zeros((0, _FIXED + 2 * k), np.uint8)
+
+    def out(keys: np.ndarray, made: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids = np.ascontiguousarray(made[:, :8]).view(np.int64)[:, 0]
+        size = np.ascontiguousarray(made[:, 8:10]).view(np.uint16)[:, 0].astype(np.int64)
+        side, short = made[:, 10], np.ascontiguousarray(made[:, _FIXED:]).view(np.uint16)
+        lengths, need = np.minimum(size, k), _needed(size, k, threshold)
+        for a, b in _local_pairs(keys, short, lengths, need):
+            near = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9
+            near |= np.maximum(size[a], size[b]) == _SHORT - 1
+            near &= (ids[a] != ids[b]) & ((side[a] == _ANY) | (side[a] != side[b]))
+            a, b = a[near], b[near]
+            found = []
+            for i in range(0, len(a), _PAIRS_AT_ONCE):
+                x, y = a[i : i + _PAIRS_AT_ONCE], b[i : i + _PAIRS_AT_ONCE]
+                good = _alike(x, y, short, lengths, need, order, keys, threshold - MARGIN)
+                found.append((ids[x[good]], ids[y[good]]))
+            if found:
+                p, q = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
-        other, lengths = _neighbours(batch.column("sketch"))
-        rows = np.repeat(np.arange(batch.num_rows), lengths)
-        value = batch.column("value").to_numpy()
-        here = value[rows]
-        low, high = np.minimum(here, other).view(np.uint64), np.maximum(here, other).view(np.uint64)
-        key = ((low ^ (low >> np.uint64(31))) * _STEP + high) * _STEP
-        small = np.flatnonzero(batch.column("size").to_numpy() * least < K // 2)
-        rows, key = np.concatenate([rows[here != other], small]), np.concatenate([key[here != other].view(np.int64), value[small]])
-        rows = pa.array(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("id").take(rows), batch.column("size").take(rows)], ["value", "id", "size"])
-
-
-def _compare_blocks(group: pa.Table, k: int, least: float, threshold: float) -> pa.Table:
-    """Pairs of two blocks of a list (or of one with itself) whose union's sketch may come from sets similar enough."""
-    group = group.combine_chunks().sort_by("id")
-    who, size, block = (group.column(c).to_numpy() for c in ("id", "size", "block"))
-    sketch = group.column("sketch").chunk(0)
-    lengths = np.diff(sketch.offsets.to_numpy())
-    known, ranks = np.unique(sketch.flatten().to_numpy(), return_inverse=True)
-    # One row a class, filled up with a value that no sketch has.
-    table = np.full((len(who), max([k, *lengths])), len(known))
-    table[np.arange(table.shape[1]) < lengths[:, None]] = ranks
-    place, column = np.full(len(known) + 1, -1), np.arange(table.shape[1])
-    one = (block == block[0]).all()
-    a, b = [], []
-    for i in range(len(who) - 1):
-        near = np.minimum(size[i], size[i + 1 :]) >= threshold * np.maximum(size[i], size[i + 1 :])
-        j = i + 1 + np.flatnonzero(near & (one | (block[i + 1 :] != block[i])) & (who[i + 1 :] != who[i]))
-        own = table[i, : lengths[i]]
-        place[own] = np.arange(len(own))
-        at = place[table[j]]
-        place[own] = -1
-        common = at >= 0
-        before = np.cumsum(common, axis=1) - common
-        both = (common & (at + column - before < k)).sum(axis=1)
-        union = np.minimum(k, lengths[i] + lengths[j] - common.sum(axis=1))
-        j = j[both >= least * union]
-        a.append(np.full(len(j), who[i]))
-        b.append(who[j])
-    none = [np.zeros(0, np.int64)]
-    return pa.table({"a": np.concatenate(a or none).astype(np.int64), "b": np.concatenate(b or none).astype(np.int64)})
+        entry = batch.column("entry")
+        data = np.frombuffer(entry.buffers()[2], np.uint8)[np.frombuffer(entry.buffers()[1], np.int32)[entry.offset] :][: len(entry) * (_FIXED + 2 * k)]
+        waiting.append((batch.column("key").to_numpy(), data.reshape(len(entry), _FIXED + 2 * k).copy()))
+        if sum(len(x) for x, _ in waiting) + len(keys) < _ENTRIES_AT_ONCE:
+            continue
+        keys, held = np.concatenate([keys, *(x for x, _ in waiting)]), np.concatenate([held, *(x for _, x in waiting)])
+        waiting = []
+        last = int(np.searchsorted(keys, keys[-1]))
+        if last:
+            yield from out(keys[:last], held[:last])
+            keys, held = keys[last:], held[last:]
+    keys, held = np.concatenate([keys, *(x for x, _ in waiting)]), np.concatenate([held, *(x for _, x in waiting)])
+    if len(keys):
+        yield from out(keys, held)
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
@@ -218,84 +309,49 @@ def _full_sets(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([ids, _lists([x for _, x in found], pa.int64())], ["id", "runs"])
 
 
-def _estimate(batches: Iterator[pa.RecordBatch], k: int, least: float) -> Iterator[pa.RecordBatch]:
-    """Keep pairs whose union's sketch may come from sets similar enough."""
-    for batch in batches:
-        x, y = batch.column("sketch_a"), batch.column("sketch_b")
-        xo, yo, xv, yv = x.offsets.to_numpy(), y.offsets.to_numpy(), x.values.to_numpy(), y.values.to_numpy()
-        keep = np.zeros(batch.num_rows, bool)
-        for i in range(batch.num_rows):
-            p, q = xv[xo[i] : xo[i + 1]], yv[yo[i] : yo[i + 1]]
-            union = np.union1d(p, q)[:k]
-            both = np.intersect1d(p, q, assume_unique=True)
-            keep[i] = (both <= union[-1]).sum() >= least * len(union)
-        yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-
-def _met(entries: DataFrame, long_list: int, threshold: float) -> DataFrame:
-    entries = entries.select("value", "id", "size").repartition("value").sortWithinPartitions("value", "id")
-    return entries.mapInArrow(partial(_meet, long_list=long_list, least=threshold), "a bigint, b bigint, weight int")
-
-
-def _long_lists(met: DataFrame) -> DataFrame:
-    return met.where("b IS NULL").select(F.col("a").alias("value")).distinct()
-
-
-def _block_pairs(entries: DataFrame, counts: DataFrame, reps: DataFrame, k: int, least: float, threshold: float, block: int) -> DataFrame:
-    """Pairs within whole lists, by blocks of classes: every block of a list meets every other."""
-    blocks = entries.join(counts, "value").select("value", "id", "size", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    blocks = blocks.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = blocks.join(reps.select("id", "sketch"), "id").withColumns({"x": F.least("block", "with"), "y": F.greatest("block", "with")})
-    groups = blocks.select("value", "x", "y", "id", "size", "block", "sketch").groupBy("value", "x", "y")
-
-    def compare(group: pa.Table) -> pa.Table:
-        return _compare_blocks(group, k, least, threshold)
-
-    return groups.applyInArrow(compare, "a bigint, b bigint")
-
-
-def _pairs_of_long_lists(reps: DataFrame, lists: DataFrame, threshold: float, k: int, long_list: int, margin: float, block: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of lists longer than ``long_list``: those yet to be estimated, and those that passed the estimate."""
-    compare = {"k": k, "least": threshold - margin, "threshold": threshold, "block": block}
-    whole = cut_lineage(reps.mapInArrow(_whole_lists, "value bigint, id bigint, size int").join(lists, "value", "left_semi"))
-    counts = whole.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    near = _block_pairs(whole, counts.where(F.col("n") <= block), reps, **compare)
-    longest = whole.join(counts.where(F.col("n") > block), "value", "left_semi").join(reps.select("id", "sketch"), "id")
-    parts = longest.mapInArrow(partial(_split, least=threshold), "value bigint, id bigint, size int").distinct()
-    met = cut_lineage(_met(parts, long_list, threshold).select("a", "b").distinct())
-    still_long = parts.join(_long_lists(met), "value", "left_semi")
-    sizes = still_long.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    near = near.unionByName(_block_pairs(still_long, sizes, reps, **compare))
-    return met.where("b IS NOT NULL"), near.distinct()
-
-
-def links(texts: DataFrame, reps: DataFrame, threshold: float, run: int, k: int, long_list: int, least_lists: int, margin: float, block: int = BLOCK) -> DataFrame:
-    """Pairs a < b of class representatives whose sets have at least ``threshold`` of their union in common."""
-    rows = reps.mapInArrow(partial(_entries, long_list=long_list, least=threshold), "value bigint, id bigint, size int, other bigint")
-    # Made twice from the stored sketches, which costs less than storing the entries.
-    met = _met(rows.where("other IS NULL"), long_list, threshold)
-    pairs = met.unionByName(rows.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"), F.col("size").alias("weight"))).where("b IS NULL OR a < b")
-    pairs = pairs.groupBy("a", "b").agg(F.sum("weight").alias("n_lists"))
-    pairs = cut_lineage(pairs.where(F.col("n_lists") >= least_lists).select("a", "b"))
-    more, passed = _pairs_of_long_lists(reps, _long_lists(pairs), threshold, k, long_list, margin, block)
-    near = (
-        pairs.where("b IS NOT NULL").unionByName(more).distinct()
-        .join(reps.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-        .join(reps.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-        .select("a", "b", "sketch_a", "sketch_b")
-        .mapInArrow(partial(_estimate, k=k, least=threshold - margin), "a bigint, b bigint")
-    )
-    near = near.unionByName(passed).distinct()
-    near = cut_lineage(near)
-    asked = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = cut_lineage(texts.join(asked, "id", "left_semi").mapInArrow(partial(_full_sets, run=run), "id bigint, runs array<bigint>"))
-    both = near.join(sets.select(F.col("id").alias("a"), F.col("runs").alias("runs_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("runs").alias("runs_b")), "b")
+def _classes(texts: DataFrame, run: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """id, print, size, sketch of every text that has runs; and of the first text of each class."""
+    rows = cut_lineage(texts.mapInArrow(partial(_sketch, run=run, k=k), "id bigint, print binary, size int, sketch array<bigint>"))
+    reps = rows.groupBy("print").agg(F.min_by(F.struct("id", "size", "sketch"), "id").alias("first")).select("print", "first.*")
+    return rows, cut_lineage(reps)
+
+
+def candidates(reps: DataFrame, threshold: float, k: int = K, list_rows: int = LIST_ROWS) -> DataFrame:
+    """Pairs a < b of classes (id, size, sketch) with enough retained values in common and a promising estimate, once each."""
+    context = reps.sparkSession.sparkContext
+    sketches = reps.select("id", "size", "sketch")
+    values = _dense(sketches.select("sketch").mapInArrow(_count_values, "bucket bigint, n bigint"))
+    order = np.empty(_SHORT, np.int64)
+    order[np.lexsort((np.arange(_SHORT), values))] = np.arange(_SHORT)
+    # Where there are very many classes, lists are longer on average, and so is what counts as too long.
+    most = max(list_rows, 8 * int(values.sum()) // _SHORT)
+    options = {"k": k, "threshold": threshold, "most": most}
+    lists: list[np.ndarray | None] = [order, None]
+    for level in (1, 2):
+        shared = context.broadcast((lists[0], lists[1]))
+        counts = _dense(sketches.mapInArrow(partial(_count_keys, lists=shared, **options), "bucket bigint, n bigint"))
+        lists[1:] = [counts, np.zeros(_SHORT, np.int64)] if level == 1 else [lists[1], counts]
+        if counts.max() <= most:
+            break
+    shared = context.broadcast(tuple(lists))
+    entries = sketches.mapInArrow(partial(_entries, lists=shared, **options), "key bigint, entry binary")
+    met = entries.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_meet, lists=shared, k=k, threshold=threshold), "a bigint, b bigint")
+    return met.distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose sets have at least ``threshold`` of their union in common."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("runs").alias("runs_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("runs").alias("runs_b")), "b")
     common = F.size(F.array_intersect("runs_a", "runs_b"))
     similarity = common / (F.size("runs_a") + F.size("runs_b") - common)
     return both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
 
 
+def _sets_of(pairs: DataFrame, texts: DataFrame, run: int) -> DataFrame:
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return cut_lineage(texts.join(asked, "id", "left_semi").mapInArrow(partial(_full_sets, run=run), "id bigint, runs array<bigint>").dropDuplicates(["id"]))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """The smallest member of each member's connected component: id, component.
 
@@ -314,45 +370,62 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("id", "component")
 
 
-def near_duplicate_groups(
-    df: DataFrame,
-    id_column: str,
-    text_column: str,
-    threshold: float = 0.8,
-    run: int = 5,
-    k: int = K,
-    long_list: int = LONG_LIST,
-    least_lists: int = LEAST_LISTS,
-    margin: float = MARGIN,
-) -> DataFrame:
-    """One row per text: id, representative (first id with the same set of runs), group_id, n_links.
-
-    Words are runs of letters or digits in the consistent form, without case. group_id is the smallest
-    id of the group; n_links counts the other classes that the text's class is linked to. Texts that
-    are null, empty or shorter than ``run`` words have no runs, belong to no group and are left out.
-    Ids must be unique bigint; repeated ids count once. The threshold must be 0.7 or more: below that,
-    small sets can be similar without sharing two neighbouring values.
+def _check(threshold: float) -> None:
+    if not 0.7 <= threshold <= 1:
+        raise ValueError("the threshold must be from 0.7 to 1")
+
+
+def _texts(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    return df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+
+
+def near_duplicate_links(df: DataFrame, id_column: str, text_column: str, threshold: float = 0.8, run: int = 5, k: int = K, list_rows: int = LIST_ROWS) -> DataFrame:
+    """All pairs of different texts with at least ``threshold`` of the union of their runs in common: a, b, similarity.
+
+    Texts with equal sets of runs are one class, named by its smallest id; a < b are such names. Words are
+    runs of letters or digits in the consistent form, without case. Texts that are null, empty or shorter
+    than ``run`` words have no runs and no links. Ids must be unique bigint. The threshold must be 0.7 or
+    more: below that small sets can be similar that share no three values.
     """
-    if threshold < 0.7:
-        raise ValueError("the threshold must be 0.7 or more")
-    texts = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    rows = cut_lineage(texts.mapInArrow(partial(_sketch, run=run, k=k), "id bigint, print binary, size int, sketch array<bigint>"))
-    reps = cut_lineage(rows.groupBy("print").agg(F.min_by(F.struct("id", "size", "sketch"), "id").alias("first")).select("print", "first.*"))
-    found = cut_lineage(links(texts, reps.select("id", "size", "sketch"), threshold, run, k, long_list, least_lists, margin))
-    degree = found.select(F.explode(F.array("a", "b")).alias("representative")).groupBy("representative").agg(F.count(F.lit(1)).alias("n_links"))
-    groups = components(found).toDF("representative", "component").join(degree, "representative")
+    _check(threshold)
+    texts = _texts(df, id_column, text_column)
+    _, reps = _classes(texts, run, k)
+    near = cut_lineage(candidates(reps, threshold, k, list_rows))
+    return _verified(near, _sets_of(near, texts, run), threshold)
+
+
+def near_duplicate_groups(df: DataFrame, id_column: str, text_column: str, threshold: float = 0.8, run: int = 5, k: int = K, list_rows: int = LIST_ROWS, first_partners: int = FIRST_PARTNERS) -> DataFrame:
+    """One row per text: id, representative (first id with the same set of runs), group_id.
+
+    group_id is the smallest representative of the group, which is what links (near_duplicate_links)
+    connect. A class's first ``first_partners`` candidates are compared in any case, the others only if
+    the links found by then leave the two apart; the groups are the same as with all. Texts without runs
+    belong to no group and are left out. Ids must be unique bigint; repeated ids count once.
+    """
+    _check(threshold)
+    texts = _texts(df, id_column, text_column)
+    rows, reps = _classes(texts, run, k)
+    turn = F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", "b"), "a"))
+    near = cut_lineage(candidates(reps, threshold, k, list_rows).withColumn("turn", turn))
+    sets = _sets_of(near, texts, run)
+    found = cut_lineage(_verified(near.where(F.col("turn") <= first_partners), sets, threshold))
+    groups = components(found)
+    rest = near.where(F.col("turn") > first_partners)
+    if rest.limit(1).count():
+        here = lambda name: groups.toDF(name, f"{name}_group")
+        apart = rest.join(here("a"), "a", "left").join(here("b"), "b", "left").where("a_group IS NULL OR b_group IS NULL OR a_group <> b_group")
+        groups = components(cut_lineage(found.unionByName(_verified(apart.select("a", "b"), sets, threshold))))
     members = rows.select("id", "print").distinct().join(reps.select("print", F.col("id").alias("representative")), "print").drop("print")
-    return members.join(groups, "representative", "left").select(
-        F.col("id").alias(id_column),
-        "representative",
-        F.coalesce("component", "representative").alias("group_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    return members.join(groups.toDF("representative", "component"), "representative", "left").select(
+        F.col("id").alias(id_column), "representative", F.coalesce("component", "representative").alias("group_id")
     )
 
 
-def pairs_within_groups(groups: DataFrame, id_column: str) -> DataFrame:
-    """All pairs of rows of one group, smaller id first."""
-    several = groups.groupBy("group_id").count().where("count > 1").select("group_id")
-    members = groups.join(several, "group_id", "left_semi").select("group_id", id_column)
-    left, right = members.toDF("group_id", f"{id_column}_a"), members.toDF("group_id", f"{id_column}_b")
-    return left.join(right, "group_id").where(F.col(f"{id_column}_a") < F.col(f"{id_column}_b")).drop("group_id")
+def pairs_within_groups(groups: DataFrame, id_column: str, slice_rows: int = SLICE) -> DataFrame:
+    """All pairs of rows of one group, smaller id first. Groups of more than ``slice_rows`` rows are spread over tasks."""
+    sizes = groups.groupBy("group_id").count().where("count > 1")
+    sizes = sizes.select("group_id", F.ceil(F.col("count") / slice_rows).cast("int").alias("slices"))
+    members = groups.select("group_id", id_column).join(sizes, "group_id")
+    left = members.select("group_id", F.pmod(F.xxhash64(id_column), "slices").cast("int").alias("slice"), F.col(id_column).alias(f"{id_column}_a"))
+    right = members.select("group_id", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col(id_column).alias(f"{id_column}_b"))
+    return left.join(right, ["group_id", "slice"]).where(F.col(f"{id_column}_a") < F.col(f"{id_column}_b")).drop("group_id", "slice")

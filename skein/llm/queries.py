@@ -10,7 +10,7 @@ from skein.llm.abuse import THRESHOLD, abuse_rates, abuse_scores, fit
 from skein.llm.consistent import consistent_form, inconsistent_values
 from skein.llm.leakage import leaks, without_leaks
 from skein.llm.mixing import mix, mix_report, token_counts
-from skein.llm.near_duplicates import near_duplicate_groups, pairs_within_groups
+from skein.llm.near_duplicates import near_duplicate_groups, near_duplicate_links, pairs_within_groups
 from skein.llm.scans import repaired
 from skein.llm.splitting import split_oversized
 from skein.session import cut_lineage, table
@@ -39,6 +39,11 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return _groups(spark, folder)
 
 
+def p2_links(spark: SparkSession, folder: str) -> DataFrame:
+    """All links between different texts, each text named by the first row that holds it."""
+    return near_duplicate_links(table(spark, folder, "search_results"), "result_id", "text", threshold=0.7, run=3)
+
+
 def _pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_oversized(table(spark, folder, "search_results"), "result_id", "text", ["section_path"])
 
@@ -106,7 +111,7 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
     return abuse_rates(_scores(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_repaired, p6_found, p6_items, p6_clean, p7_mix, p7_report, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p2_found, p2_groups, p2_links, p3_found, p3_pieces, p4_found, p4_repaired, p6_found, p6_items, p6_clean, p7_mix, p7_report, p8_found, p8_scores, p8_rates)}
 
 def _words() -> str:
     """A text's words as the operators see them, in the oracle's SQL."""

@@ -1,11 +1,10 @@
 import random
-from functools import partial
 
 import numpy as np
-import pyarrow as pa
+import pytest
 
 from skein.functions.folding import WORD, fold_text, word_skeleton
-from skein.llm.near_duplicates import MARGIN, _entries, _estimate, _meet, components, near_duplicate_groups, pairs_within_groups
+from skein.llm.near_duplicates import _local_pairs, components, near_duplicate_groups, near_duplicate_links, pairs_within_groups
 from skein.llm.shingles import WordNumbers, run_numbers
 
 
@@ -65,7 +64,6 @@ def test_against_brute_force(spark):
 
 
 def test_hot_lists_of_versions_and_copies(spark):
-    # Lists longer than LONG_LIST link through leaders and neighbours: close versions all meet.
     rng = random.Random(5)
     base = [f"слово{i}" for i in range(120)]
     versions = {i: " ".join(base[:j] + [f"правка{i}"] + base[j + 1 :]) for i, j in enumerate(rng.choices(range(120), k=90))}
@@ -99,23 +97,14 @@ def test_run_numbers():
     assert at.tolist() == [0, 2, 2, 2, 3] and values[1] == values[2] != values[0]
 
 
-def test_lists_over_batch_borders():
+def test_local_pairs_hold_every_pair_with_enough_in_common():
     rng = np.random.default_rng(0)
-    value = np.sort(rng.choice([1, 2, 3, 4, 5, 6], 300, p=[0.5, 0.3, 0.1, 0.05, 0.03, 0.02]))
-    who = np.concatenate([np.sort(rng.choice(1000, int(n), replace=False)) for n in np.unique(value, return_counts=True)[1]])
-    batches = [
-        pa.RecordBatch.from_arrays([pa.array(value[i : i + 7]), pa.array(who[i : i + 7]), pa.array(np.full(len(value[i : i + 7]), 50, np.int32))], ["value", "id", "size"])
-        for i in range(0, 300, 7)
-    ]
-    got = {p for b in _meet(iter(batches), 16, 0.7) for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist())}
-    for v in np.unique(value):
-        ids = who[value == v].tolist()
-        want = {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :]} if len(ids) <= 16 else {(ids[0], b) for b in ids[1:]} | set(zip(ids, ids[1:]))
-        assert want <= got
-    sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, 101, 2, dtype=np.int32)), pa.array(np.tile([7, 9], 50)))
-    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array([40] * 50, pa.int32()), sketch], ["id", "size", "sketch"])
-    rows = next(_entries(iter([batch]), 16, 0.7)).to_pylist()
-    assert sum(r["other"] is None for r in rows) == 17 and {(r["id"], r["other"]) for r in rows if r["other"] is not None} >= {(0, 49), (48, 49)}
+    keys = np.sort(rng.choice(4, 120))
+    short = np.stack([rng.choice(40, 10, replace=False) for _ in keys]).astype(np.uint16)
+    lengths, need = np.full(120, 10), np.full(120, 4)
+    got = {p for a, b in _local_pairs(keys, short, lengths, need) for p in zip(a.tolist(), b.tolist())}
+    want = {(i, j) for i in range(120) for j in range(i + 1, 120) if keys[i] == keys[j] and len(np.intersect1d(short[i], short[j])) >= 4}
+    assert want and want <= got
 
 
 def test_components(spark):
@@ -124,49 +113,67 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100}
 
 
-def degrees(texts, threshold, n):
+def links(texts, threshold, n):
     sets = {i: s for i, t in texts.items() if (s := runs(t, n))}
     classes = {s: min(i for i in sets if sets[i] == s) for s in set(sets.values())}
-    links = {(a, b) for s, a in classes.items() for t, b in classes.items() if a != b and len(s & t) >= threshold * len(s | t)}
-    return {i: sum(a == classes[s] for a, _ in links) for i, s in sets.items()}
+    ordered = sorted((i, s) for s, i in classes.items())
+    return {(i, j) for x, (i, s) in enumerate(ordered) for j, t in ordered[x + 1 :] if len(s & t) >= threshold * len(s | t)}
 
 
-def test_long_lists_of_versions_with_several_edits(spark):
-    # 350 versions of one text, most of them similar to some others only, and a stock phrase in 80 other texts.
-    rng = random.Random(7)
-    base = [f"слово{i}" for i in range(120)]
+def versions(n, seed, edits, length=120):
+    rng = random.Random(seed)
+    base = [f"слово{i}" for i in range(length)]
     texts = {}
-    for i in range(350):
+    for i in range(n):
         words = list(base)
-        for at in rng.sample(range(120), rng.choice([2, 4, 6, 8, 9])):
+        for at in rng.sample(range(length), rng.choice(edits)):
             words[at] = f"правка{i}_{at}"
         texts[i] = " ".join(words)
-    texts |= {1000 + i: " ".join([f"прочее{i}_{j}" for j in range(20)] + base[:5]) for i in range(80)}
+    # A stock phrase of the text in other texts.
+    return texts | {10_000 + i: " ".join([f"прочее{i}_{j}" for j in range(20)] + base[:5]) for i in range(80)}
+
+
+# Lists as they come; split by a second value; and cut into blocks as well.
+@pytest.mark.parametrize(("n", "list_rows"), [(350, 20_000), (100, 60), (60, 20)])
+def test_versions_with_several_edits(spark, n, list_rows):
+    texts = versions(n, 7, [2, 4, 6, 8, 9])
     df = spark.createDataFrame(list(texts.items()), "id bigint, text string")
-    found = near_duplicate_groups(df, "id", "text", threshold=0.7, run=3, margin=0.47).collect()
+    how = {"threshold": 0.7, "run": 3, "list_rows": list_rows}
+    assert {(r.a, r.b) for r in near_duplicate_links(df, "id", "text", **how).collect()} == links(texts, 0.7, 3)
+    found = near_duplicate_groups(df, "id", "text", first_partners=2, **how).collect()
     assert {r.id: r.group_id for r in found} == brute(texts, 0.7, 3)
-    assert {r.id: r.n_links for r in found} == degrees(texts, 0.7, 3)
 
 
-def test_longest_lists_are_split_and_compared_in_blocks(spark, monkeypatch):
-    import skein.llm.near_duplicates as module
-
-    links = module.links
-    monkeypatch.setattr(module, "links", lambda *a: links(*a, block=20))
-    rng = random.Random(9)
-    base = [f"слово{i}" for i in range(60)]
-    texts = {i: " ".join(w if rng.random() > 0.06 else f"правка{i}_{j}" for j, w in enumerate(base)) for i in range(100)}
-    texts |= {1000 + i: " ".join(["а", "б", "в", "г", "д", "е", f"ж{i}"]) for i in range(90)}
+def test_three_thousand_versions(spark):
+    texts = versions(3000, 11, [2, 3, 5, 7, 9])
     df = spark.createDataFrame(list(texts.items()), "id bigint, text string")
-    found = near_duplicate_groups(df, "id", "text", threshold=0.7, run=3, long_list=8, margin=0.47).collect()
-    assert {r.id: r.group_id for r in found} == brute(texts, 0.7, 3)
+    found = near_duplicate_groups(df, "id", "text", threshold=0.7, run=3).collect()
+    assert {r.id: r.group_id for r in found} == brute_by_blocks(texts, 0.7, 3)
 
 
-def test_estimate_keeps_similar_sets_with_unlike_sketches():
-    # Of 100 values 30 are in one set only, 14 of them among the 24 smallest: Jaccard 0.7, estimate 10 of 24.
-    alone = [*range(14), *range(50, 66)]
-    both = [v for v in range(100) if v not in alone]
-    sketches = [pa.array([sorted(both + alone[i::2])[:24]], pa.list_(pa.int64())) for i in (0, 1)]
-    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), *sketches], ["a", "b", "sketch_a", "sketch_b"])
-    assert sum(b.num_rows for b in _estimate(iter([batch]), 24, 0.7 - MARGIN)) == 1
-    assert sum(b.num_rows for b in _estimate(iter([batch]), 24, 0.7 - 0.28)) == 0
+def brute_by_blocks(texts, threshold, n):
+    """brute() with the common runs of all pairs counted as products of matrices."""
+    sets = {i: s for i, t in texts.items() if (s := runs(t, n))}
+    known = {r: x for x, r in enumerate(sorted({r for s in sets.values() for r in s}))}
+    often = [r for r, c in zip(*np.unique([known[r] for s in sets.values() for r in s], return_counts=True)) if c > 1]
+    column = {r: x for x, r in enumerate(often)}
+    ids = sorted(sets)
+    grid = np.zeros((len(ids), len(often)), np.float32)
+    for x, i in enumerate(ids):
+        grid[x, [column[known[r]] for r in sets[i] if known[r] in column]] = 1
+    size = np.array([len(sets[i]) for i in ids])
+    group = np.arange(len(ids))
+    common = grid @ grid.T
+    near = common >= threshold * (size[:, None] + size - common) - 1e-6
+    np.fill_diagonal(near, True)
+    while True:
+        new = np.array([group[row].min() for row in near])
+        new = new[new]
+        if (new == group).all():
+            return {i: ids[g] for i, g in zip(ids, group)}
+        group = new
+
+
+def test_threshold_is_checked(spark):
+    with pytest.raises(ValueError):
+        near_duplicate_links(spark.createDataFrame([], "id bigint, text string"), "id", "text", threshold=0.6)
