@@ -5,8 +5,8 @@ time. One pass over each sorted key keeps the number of parents that are valid a
 reference that meets the number zero is an orphan. What the key's parents did elsewhere on the time
 line tells the kind: never there (``missing``), there before (``deleted``), only later (``late``).
 
-A key that holds very many references is cut into slices of bounded size; the parents of that key,
-and of no other, are repeated for each slice.
+A key that holds very many references is cut into slices of bounded size before anything is joined or
+shuffled by key; the parents of that key, and of no other, are repeated for each slice.
 """
 
 from __future__ import annotations
@@ -18,12 +18,15 @@ from skein.functions.folding import reference_key
 
 #: References of one key that one task merges at most.
 SLICE_ROWS = 250_000
+#: Keys that are sliced at most, the ones with the most references; they go to every task. A key beyond
+#: them has less than one in so many of all references.
+MOST_SLICED = 10_000
 
 # The labels of references, in capital Cyrillic letters.
 _NUMBERED = r"^(ПУНКТ|П|РАЗДЕЛ|РАЗД|ГЛАВА|ГЛ|ТАБЛИЦА|ТАБЛ)\.?([А-Я](?:\.?\d+)?(?:\.\d+)*|\d+(?:\.\d+)*)\.?$"
 
 
-def find_orphans(references: DataFrame, parents: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def find_orphans(references: DataFrame, parents: DataFrame, slice_rows: int = SLICE_ROWS, most_sliced: int = MOST_SLICED) -> DataFrame:
     """References without a valid parent at their time, with the kind of absence.
 
     ``references``: src_table, src_key, ref_value, parent_table, parent_key, at (timestamp).
@@ -41,9 +44,8 @@ def find_orphans(references: DataFrame, parents: DataFrame, slice_rows: int = SL
         & F.col("loaded_at").isNotNull()
         & (F.col("removed_at").isNull() | (F.col("removed_at") > F.col("loaded_at")))
     )
-    # At most one row per slice_rows references.
-    hot = refs.groupBy(*keys).count().where(F.col("count") > slice_rows)
-    hot = hot.select(*keys, F.ceil(F.col("count") / slice_rows).cast("int").alias("slices"))
+    hot = refs.groupBy(*keys).count().where(F.col("count") > slice_rows).orderBy(F.desc("count"), *keys).limit(most_sliced)
+    hot = F.broadcast(hot.select(*keys, F.ceil(F.col("count") / slice_rows).cast("int").alias("slices")))
     refs = refs.join(hot, keys, "left").select(
         *keys,
         F.when(F.col("slices").isNotNull(), F.expr("pmod(xxhash64(src_key, ref_value), slices)")).otherwise(F.lit(0)).cast("int").alias("slice"),

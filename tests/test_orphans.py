@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 from datetime import datetime, timedelta
 
 from hypothesis import HealthCheck, given, settings
@@ -80,3 +81,16 @@ def test_document_tables(spark):
 def test_empty_tables(spark):
     assert run(spark, [], []) == set()
     assert run(spark, [("a", 1)], []) == {(0, "missing")}
+
+
+def test_a_hot_key_is_sliced_before_any_shuffle_by_key(spark):
+    when = F.timestamp_seconds(F.lit(1_000_000) + F.col("id") % 1000)
+    refs = spark.range(1_000_000).select(F.lit("r").alias("src_table"), F.col("id").alias("src_key"), F.lit("x").alias("ref_value"), F.lit("p").alias("parent_table"), F.lit("k").alias("parent_key"), when.alias("at"))
+    parents = spark.sql("SELECT 'p' AS parent_table, 'k' AS parent_key, timestamp_seconds(1000000 + 500) AS loaded_at, timestamp_seconds(1000000 + 900) AS removed_at")
+    found = find_orphans(refs, parents, slice_rows=10_000)
+    assert {(r.status, r["count"]) for r in found.groupBy("status").count().collect()} == {("late", 500_000), ("deleted", 100_000)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(parent_table" in plan
+    # More hot keys than are sliced: the same result.
+    few = find_orphans(refs.unionByName(refs.withColumn("parent_key", F.lit("l"))), parents, slice_rows=10_000, most_sliced=1)
+    assert few.count() == 1_600_000
