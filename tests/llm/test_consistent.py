@@ -1,3 +1,5 @@
+import pytest
+
 from skein.llm.consistent import consistent_form, inconsistent_values
 
 SCHEMA = "result_id bigint, text string, title string, plain string, of string"
@@ -7,15 +9,17 @@ def rows(*values):
     return [(i, text, title, "x", "y") for i, (text, title) in enumerate(values)]
 
 
-def made(spark, *values):
+def made(spark, *values, **more):
     df = spark.createDataFrame(rows(*values), SCHEMA)
-    out = {r.result_id: (r.text_consistent, r.title_consistent) for r in consistent_form(df, ["text", "title"]).collect()}
-    found = {(r.result_id, r.field_name) for r in inconsistent_values(df, "result_id", ["text", "title"]).collect()}
+    out = {r.result_id: (r.text_consistent, r.title_consistent) for r in consistent_form(df, ["text", "title"], **more).collect()}
+    found = {(r.result_id, r.field_name) for r in inconsistent_values(df, "result_id", ["text", "title"], **more).collect()}
     assert found == {(i, f) for i, pair in enumerate(values) for f, a, b in zip(("text", "title"), pair, out[i]) if a != b}
     return out
 
 
-def test_forms(spark):
+# The words that tasks hold: all of them, and a few, so that values are completed by the join.
+@pytest.mark.parametrize("most_words", [50_000, 3])
+def test_forms(spark, most_words):
     out = made(
         spark,
         ("Класс Ｂ１２ и шина", "кра​н"),
@@ -27,6 +31,7 @@ def test_forms(spark):
         ("PE PE PE РЕ", "IP54 ІР54"),
         (None, ""),
         ("сталь с медью с хромом", "ВРУ"),
+        most_words=most_words,
     )
     assert out[0] == ("Класс B12 и шина", "кран")
     assert out[1] == ("район край", "ёлка")
