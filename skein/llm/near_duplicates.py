@@ -27,6 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.llm.marks import id_slots, marked, marks
 from skein.llm.shingles import WordNumbers, run_numbers
 from skein.session import cut_lineage
 
@@ -301,9 +302,10 @@ def _meet(batches: Iterator[pa.RecordBatch], lists: Broadcast, k: int, threshold
         yield from out(keys, held)
 
 
-def _full_sets(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
+def _full_sets(batches: Iterator[pa.RecordBatch], run: int, table: Broadcast) -> Iterator[pa.RecordBatch]:
     numbers = WordNumbers()
     for batch in batches:
+        batch = batch.filter(pa.array(marked(table.value, id_slots(batch.column("id").to_numpy()))))
         found = list(_sets(batch, run, numbers))
         ids = batch.column("id").take(pa.array([i for i, _ in found], pa.int64()))
         yield pa.RecordBatch.from_arrays([ids, _lists([x for _, x in found], pa.int64())], ["id", "runs"])
@@ -349,7 +351,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def _sets_of(pairs: DataFrame, texts: DataFrame, run: int) -> DataFrame:
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return cut_lineage(texts.join(asked, "id", "left_semi").mapInArrow(partial(_full_sets, run=run), "id bigint, runs array<bigint>").dropDuplicates(["id"]))
+    made = texts.mapInArrow(partial(_full_sets, run=run, table=marks(asked, lambda ids: id_slots(ids.to_numpy()))), "id bigint, runs array<bigint>")
+    return cut_lineage(made.join(asked, "id", "left_semi").dropDuplicates(["id"]))
 
 
 def components(edges: DataFrame) -> DataFrame:
