@@ -17,9 +17,14 @@ REFERENCES = {
 }
 TABLE_CAPTION = r"(?iu)(?:таблиц[\p{L}\p{N}_]*|табл\.?|table)" + ANY_BLANKS + f"({_NUMBER})"
 IMAGE_CAPTION = r"(?iu)(?:рисун[\p{L}\p{N}_]*|рис\.?|fig(?:ure)?\.?|изображени[\p{L}\p{N}_]*)" + ANY_BLANKS + f"({_NUMBER})"
-# Cyrillic letters and their Latin spelling in slugs.
-SLUG_ONE, SLUG_AS = "абвгдезийклмнопрстуфхыэ", "abvgdeziyklmnoprstufhye"
-SLUG_MORE = {"ё": "e", "ж": "zh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "sch", "ю": "yu", "я": "ya", "ъ": "", "ь": ""}
+# Labels in captions of stored tables and images.
+STORED_TABLE = r"(?iu)^\s*(?:таблиц[\p{L}\p{N}_]*|табл\.?|table)\s+" + f"({_NUMBER})"
+STORED_IMAGE = r"(?iu)(?:fig|рис|рисун[\p{L}\p{N}_]*)[_\s]+" + f"({_NUMBER})"
+# Cyrillic letters and their Latin spelling in slugs; capitals likewise.
+SLUG_ONE, SLUG_AS = "абвгдеёзийклмнопрстуфхцыэ", "abvgdeeziyklmnoprstufhcye"
+SLUG_MORE = {"ж": "zh", "ч": "ch", "ш": "sh", "щ": "sch", "ю": "yu", "я": "ya", "ъ": "", "ь": ""}
+# What stands for a table that is shown as an image.
+TABLE_SIGN = "см. прикреплённое изображение"
 
 
 def references(text: Column) -> Column:
@@ -36,8 +41,8 @@ def reference_number(number: Column) -> Column:
 
 
 def caption_number(asset_type: Column, caption: Column) -> Column:
-    """The number in a table's or an image's caption; null without one."""
-    number = F.when(asset_type == "table", F.regexp_extract(caption, TABLE_CAPTION, 1)).otherwise(F.regexp_extract(caption, IMAGE_CAPTION, 1))
+    """The number in a stored caption: of a table at its beginning, of an image anywhere (fig_1 as well); null without one."""
+    number = F.when(asset_type == "table", F.regexp_extract(caption, STORED_TABLE, 1)).otherwise(F.regexp_extract(caption, STORED_IMAGE, 1))
     return F.nullif(reference_number(number), F.lit(""))
 
 
@@ -74,11 +79,12 @@ def edition(document_id: Column) -> Column:
 
 
 def slug(text: Column) -> Column:
-    """Latin letters, digits and single underscores."""
-    low = F.translate(F.lower(text), SLUG_ONE, SLUG_AS)
+    """Latin letters in the case of the text, digits and single underscores; DOC where nothing is left."""
+    out = F.translate(F.coalesce(text, F.lit("")), SLUG_ONE + SLUG_ONE.upper(), SLUG_AS + SLUG_AS.upper())
     for letter, latin in SLUG_MORE.items():
-        low = F.replace(low, F.lit(letter), F.lit(latin))
-    return F.regexp_replace(F.regexp_replace(low, r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
+        out = F.replace(F.replace(out, F.lit(letter), F.lit(latin)), F.lit(letter.upper()), F.lit(latin.capitalize()))
+    out = F.regexp_replace(F.regexp_replace(out, r"[^A-Za-z0-9]+", "_"), r"^_+|_+$", "")
+    return F.when(out != "", out).otherwise("DOC")
 
 
 def cell_set(markdown: Column) -> Column:
@@ -108,9 +114,16 @@ def table_spans(text: Column) -> Column:
     return F.aggregate(marked, start, step, closed)
 
 
-def without_tables(text: Column, sign: str = "[таблица]") -> Column:
-    """Each pipe table with a separator row as one line ``sign``."""
-    return F.regexp_replace(text, r"(?m)^[ \t]*\|[^\n]*\n[ \t]*\|[ \t]*:?-[-:| \t]*(?:\n[ \t]*\|[^\n]*)*", sign.replace("[", "\\[").replace("]", "\\]"))
+_ROW, _RULE = r"[ \t]*\|[^\n]*\|[ \t]*", r"[ \t]*\|(?:[ \t]*:?-{3,}:?[ \t]*\|)+[ \t]*"
+#: A pipe table with a separator row; and one right under its caption.
+PIPE_TABLE = rf"^(?:{_ROW}\n)*?{_RULE}(?:\n{_ROW})*$"
+CAPTIONED_TABLE = r"^[ \t]*(?:таблиц[\p{L}\p{N}_]*|табл\.?)[ \t]+" + f"({_NUMBER})" + r"(?:[ \t]*[—–-][^\n]*)?[ \t]*\n" + PIPE_TABLE[1:]
+
+
+def without_tables(text: Column) -> Column:
+    """Each pipe table with a separator row as one line that points to its image, with the number of a caption right above it."""
+    named = F.regexp_replace(text, "(?ium)" + CAPTIONED_TABLE, f"Таблица $1 — {TABLE_SIGN}")
+    return F.regexp_replace(named, "(?m)" + PIPE_TABLE, f"(таблица — {TABLE_SIGN})")
 
 
 def point_id(chunk_id: Column, row: Column) -> Column:
@@ -135,11 +148,3 @@ def join_spaced_labels(text: Column) -> Column:
     for word in ("Таблица", "Примечание", "Рисунок"):
         text = F.regexp_replace(text, "(?iu)" + r"\s".join(word), word)
     return text
-
-
-def clean_formula(text: Column) -> Column:
-    """Blanks inside numbers and artefacts of recognised formulas between dollar signs."""
-    text = F.regexp_replace(text, r"\\\(|\\\)", "\\$")
-    text = F.regexp_replace(text, r"(?<=\d) ?, ?(?=\d)", ",")
-    text = F.regexp_replace(text, r"\\(?:mathrm|mathbf|mathit)\{([^{}]*)\}", "$1")
-    return F.regexp_replace(F.regexp_replace(text, r"\\[,;!]", " "), r"\s*\^\s*", "^")

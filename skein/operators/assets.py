@@ -30,7 +30,7 @@ def validate(chunks: DataFrame, assets: DataFrame) -> DataFrame:
     return repeated.unionByName(blank).unionByName(dangling).unionByName(orphan).unionByName(foreign.distinct())
 
 
-def links(assets: DataFrame, chunks: DataFrame) -> DataFrame:
+def named_chunks(assets: DataFrame, chunks: DataFrame) -> DataFrame:
     """Which of an asset's chunk ids exist: asset_id, n_named, n_found."""
     named = assets.select("asset_id", F.explode_outer(F.array_distinct("chunk_ids")).alias("chunk_id")).distinct()
     there = chunks.where("chunk_id IS NOT NULL").select("chunk_id", F.lit(1).alias("there")).distinct()

@@ -38,31 +38,43 @@ def outside_tables(blocks: DataFrame, tables: DataFrame) -> DataFrame:
 
 
 def captions_above(tables: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The nearest caption block that ends above each table of its page: table_id, caption_block."""
-    some = blocks.where(F.coalesce("is_table_caption", F.lit(False)) | F.coalesce("is_continuation_caption", F.lit(False)) | F.col("text").rlike(_CAPTION))
-    some = some.select("doc_key", "page", "block_id", F.col("bbox.y1").alias("bottom"))
-    both = tables.select("table_id", "doc_key", "page", F.col("bbox.y0").alias("top")).join(some, ["doc_key", "page"], "left")
-    above = F.col("bottom") <= F.col("top")
-    return both.groupBy("table_id").agg(F.max_by(F.when(above, F.col("block_id")), F.when(above, F.struct("bottom", -F.col("block_id")))).alias("caption_block"))
+    """The nearest caption block that begins above each table of its page: table_id, caption_block.
+
+    A caption with the top of another table between it and the table belongs to that one.
+    """
+    some = blocks.where(F.coalesce("is_table_caption", F.lit(False)) | F.coalesce("is_continuation_caption", F.lit(False)) | (F.col("layout_type") == "CAPTION") | F.col("text").rlike(_CAPTION))
+    some = some.select("doc_key", "page", "block_id", F.col("bbox.y0").alias("begins"))
+    place = ["doc_key", "page", "top"]
+    rows = tables.select("table_id", "doc_key", "page", F.col("bbox.y0").alias("top"))
+    tops = rows.select(*place).distinct().withColumn("other", F.lag("top").over(Window.partitionBy("doc_key", "page").orderBy("top")))
+    both = rows.join(tops, place, "left").join(some, ["doc_key", "page"], "left")
+    above = (F.col("begins") < F.col("top")) & F.coalesce(F.col("begins") >= F.col("other"), F.lit(True))
+    return both.groupBy("table_id").agg(F.max_by(F.when(above, F.col("block_id")), F.when(above, F.struct("begins", -F.col("block_id")))).alias("caption_block"))
 
 
 def stitch_groups(tables: DataFrame) -> DataFrame:
     """Parts of one table over several pages: table_id, group (from 1 within its document), part.
 
-    In order of page and index a continuation whose number is the last one seen joins the table before
-    it; so does a table without caption and number that goes on at the top of the next page with as many
-    columns, where the one before reached the last quarter. Anything else opens a group.
+    In order of page and index a continuation with the number of the group's first table joins the group;
+    so does a table without caption that lies under the one before it: on the next page, with as many
+    columns, over half of the wider one's width, where the one before reached the last quarter. A caption
+    that is no continuation, and anything else, opens a group.
     """
     order = Window.partitionBy("doc_key").orderBy("page", "table_index", "table_id")
     past = order.rowsBetween(Window.unboundedPreceding, -1)
+    captioned = F.coalesce(F.col("caption") != "", F.lit(False))
     rows = tables.select("table_id", "doc_key", "page", "table_index", "caption", "table_num", "bbox", F.coalesce("is_continuation", F.lit(False)).alias("goes_on"), column_count(F.col("cells")).alias("columns"))
-    rows = rows.withColumn("last_num", F.last("table_num", ignorenulls=True).over(past)).withColumn("before", F.lag(F.struct("page", "bbox", "columns")).over(order))
+    rows = rows.withColumn("before", F.lag(F.struct("page", "bbox", "columns")).over(order))
     b, p = F.col("bbox"), F.col("before.bbox")
     overlap = F.least(b["x1"], p["x1"]) - F.greatest(b["x0"], p["x0"])
     same = (F.col("page") == F.col("before.page") + 1) & (F.col("columns") == F.col("before.columns")) & (p["y1"] >= 0.75 * PAGE_HEIGHT)
-    same = same & (overlap >= 0.5 * F.least(b["x1"] - b["x0"], p["x1"] - p["x0"]))
-    joins = (F.col("goes_on") & (F.coalesce("table_num", "last_num") == F.col("last_num"))) | (F.col("caption").isNull() & F.col("table_num").isNull() & same)
-    rows = rows.withColumn("opens", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1))
+    span = F.greatest(b["x1"] - b["x0"], p["x1"] - p["x0"])
+    same = same & (overlap > 0) & (overlap >= 0.5 * span)
+    rows = rows.withColumn("under", ~captioned & F.coalesce(same, F.lit(False)))
+    # Whatever is not just put under the table before leaves its own number as the group's, joined or not.
+    head = F.last(F.when(~F.col("under"), F.struct("table_num")), ignorenulls=True).over(past)
+    goes_on = F.col("goes_on") & head.isNotNull() & F.col("table_num").eqNullSafe(head["table_num"])
+    rows = rows.withColumn("opens", F.when(F.col("under") | goes_on, 0).otherwise(1))
     rows = rows.withColumn("group", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     part = F.row_number().over(Window.partitionBy("doc_key", "group").orderBy("page", "table_index", "table_id"))
     return rows.select("table_id", "doc_key", "group", part.alias("part"))
@@ -94,6 +106,26 @@ def page_markdown(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     return parts.groupBy("doc_key", "page").agg(F.array_join(F.transform(ordered, lambda x: x["part"]), "\n\n").alias("markdown"))
 
 
+def document_pages(blocks: DataFrame, tables: DataFrame) -> DataFrame:
+    """Pages as Markdown documents: doc, doc_key, page, text.
+
+    Section headers become headings one sign deeper than their level (without one, of two signs); tables
+    come with their marker and caption above. Repeated blocks and tables count once.
+    """
+    kept = outside_tables(blocks.dropDuplicates(["doc_key", "page", "pos"]), tables).where("text IS NOT NULL AND text <> ''")
+    signs = F.least(F.greatest(F.coalesce("heading_level", F.lit(1)), F.lit(1)), F.lit(4)) + 1
+    heading = F.concat(F.repeat(F.lit("#"), signs), F.lit(" "), F.regexp_replace(F.trim("text"), r"\s*\n\s*", " "))
+    shown = F.when(F.col("layout_type") == "SECTION_HEADER", heading).when(F.col("layout_type") == "LIST", F.concat(F.lit("- "), F.col("text"))).otherwise(F.col("text"))
+    rows = kept.select("doc_key", "page", "y", F.lit(0).alias("kind"), F.col("pos").cast("bigint").alias("at"), shown.alias("part"))
+    drawn = tables.dropDuplicates(["doc_key", "page", "table_index"]).select("table_id", "doc_key", "page", F.col("bbox.y0").alias("y"), "table_index", "caption").join(table_markdown(tables), "table_id")
+    marker = F.concat(F.lit("<!-- t_p"), F.col("page").cast("string"), F.lit("_"), F.col("table_index").cast("string"), F.lit(" -->"))
+    part = F.concat_ws("\n\n", marker, F.nullif("caption", F.lit("")), "markdown")
+    rows = rows.unionByName(drawn.select("doc_key", "page", "y", F.lit(1).alias("kind"), F.col("table_index").cast("bigint").alias("at"), part.alias("part")))
+    ordered = F.sort_array(F.collect_list(F.struct("y", "kind", "at", "part")))
+    pages = rows.groupBy("doc_key", "page").agg(F.array_join(F.transform(ordered, lambda x: x["part"]), "\n\n").alias("text"))
+    return pages.select(F.concat_ws("#", "doc_key", F.col("page").cast("string")).alias("doc"), "doc_key", "page", "text")
+
+
 def completeness(found: DataFrame, expected: DataFrame) -> DataFrame:
     """Which of a document's heading numbers its scan shows: doc_key, n_expected, n_missing, verdict."""
     want = expected.where("number IS NOT NULL AND doc_key IS NOT NULL").select("doc_key", "number").distinct()

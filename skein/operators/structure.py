@@ -11,9 +11,10 @@ ARROW = " → "
 def with_ancestors(headings: DataFrame, document: str, order: list[str]) -> DataFrame:
     """Adds chapter, section, clause (numbers) and chapter_text, section_text, clause_text.
 
-    The chapter of a heading is the nearest level 2 at or before it; its section the nearest level 3 and
-    its clause the nearest level 4 or deeper since then. Levels below a heading's own are null. A null
-    number of the nearest heading counts: it is not skipped for an earlier one.
+    The chapter of a heading is the nearest level 2 at or before it; its section the nearest level 3 since
+    then; its clause, from level 4 on, its own number and text or, without a number, those of the level 4
+    or deeper before it in the chapter. Levels below a heading's own are null. A null number of the
+    nearest heading counts: it is not skipped for an earlier one.
     """
     so_far = Window.partitionBy(document).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = headings.withColumn("__chapter", F.sum(F.when(F.col("level") == 2, 1).otherwise(0)).over(so_far))
@@ -23,7 +24,9 @@ def with_ancestors(headings: DataFrame, document: str, order: list[str]) -> Data
     def nearest(found: Column) -> Column:
         return F.last(F.when(found, own), ignorenulls=True).over(in_chapter)
 
-    rows = rows.withColumn("__c", nearest(F.col("level") == 2)).withColumn("__s", nearest(F.col("level") == 3)).withColumn("__k", nearest(F.col("level") >= 4))
+    rows = rows.withColumn("__c", nearest(F.col("level") == 2)).withColumn("__s", nearest(F.col("level") == 3))
+    last_clause = F.last(F.when(F.col("level") >= 4, own), ignorenulls=True).over(in_chapter.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("__k", F.when(F.col("number").isNotNull(), own).otherwise(last_clause))
     section, clause = F.when(F.col("level") >= 3, F.col("__s")), F.when(F.col("level") >= 4, F.col("__k"))
     for name, part in (("chapter", F.col("__c")), ("section", section), ("clause", clause)):
         rows = rows.withColumn(name, part["number"]).withColumn(f"{name}_text", part["text"])
@@ -55,8 +58,11 @@ def without_ignored(headings: DataFrame, document: str, order: list[str], ignore
     return rows.withColumn("__covered", covered).where("NOT __covered").drop("__ignored", "__covered", "__place")
 
 
-def chunk_ids(headings: DataFrame, document: str, order: list[str]) -> DataFrame:
-    """Adds chunk_id: slug/number, or slug/_hN for the N-th heading after its parent; repeats get /occurrence_N."""
+def chunk_ids(headings: DataFrame, document: str, order: list[str], counted: Column | None = None) -> DataFrame:
+    """Adds chunk_id: slug/number, or slug/_hN for the N-th heading after its parent; repeats get /occurrence_N.
+
+    Where ``counted`` is given, only the headings for which it holds count as occurrences.
+    """
     ordered = Window.partitionBy(document).orderBy(*order)
     rows = headings.withColumn("__at", F.row_number().over(ordered) - 1)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
@@ -66,30 +72,11 @@ def chunk_ids(headings: DataFrame, document: str, order: list[str]) -> DataFrame
         parent = F.when(F.col("level") == level, F.coalesce(lower, F.lit(-1))).otherwise(parent)
     raw = F.concat_ws("/", document, F.coalesce("number", F.concat(F.lit("_h"), (F.col("__at") - F.col("__parent")).cast("string"))))
     rows = rows.withColumn("__parent", parent).withColumn("__raw", raw)
-    turn = F.row_number().over(Window.partitionBy("__raw").orderBy(*order))
-    return rows.withColumn("chunk_id", F.when(turn == 1, F.col("__raw")).otherwise(F.concat(F.col("__raw"), F.lit("/occurrence_"), turn.cast("string")))).drop("__at", "__parent", "__raw")
+    so_far = Window.partitionBy(document, "__raw").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    turn = F.sum(F.when(F.coalesce(counted, F.lit(False)), 1).otherwise(0) if counted is not None else F.lit(1)).over(so_far)
+    return rows.withColumn("chunk_id", F.when(turn <= 1, F.col("__raw")).otherwise(F.concat(F.col("__raw"), F.lit("/occurrence_"), turn.cast("string")))).drop("__at", "__parent", "__raw")
 
 
 def token_count(text: Column) -> Column:
     """Tokens when no tokenizer is at hand: length over 3.5, at least 1."""
     return F.greatest(F.lit(1), (F.length(text) / 3.5).cast("int"))
-
-
-def pack_blocks(text: Column, most_tokens: int, overhead: int = 200) -> Column:
-    """A text's paragraphs packed in order into parts of at most ``most_tokens`` less ``overhead``.
-
-    A paragraph over the limit is a part of its own. array<string>; null stays null.
-    """
-    limit = most_tokens - overhead if most_tokens > overhead else most_tokens
-    blocks = F.filter(F.split(text, r"\n[ \t]*\n"), lambda b: F.trim(b) != "")
-    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit("").alias("open"), F.lit(0).alias("n"))
-
-    def step(state: Column, block: Column) -> Column:
-        size = token_count(block)
-        fits = (state["n"] > 0) & (state["n"] + 1 + size <= limit)
-        closed = F.when(state["n"] > 0, F.concat(state["parts"], F.array(state["open"]))).otherwise(state["parts"])
-        return F.when(fits, F.struct(state["parts"].alias("parts"), F.concat(state["open"], F.lit("\n\n"), block).alias("open"), (state["n"] + 1 + size).alias("n"))).otherwise(
-            F.struct(closed.alias("parts"), block.alias("open"), size.alias("n"))
-        )
-
-    return F.aggregate(blocks, start, step, lambda s: F.when(s["n"] > 0, F.concat(s["parts"], F.array(s["open"]))).otherwise(s["parts"]))

@@ -22,8 +22,8 @@ def validate_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return A.validate(table(spark, folder, "search_results"), table(spark, folder, "assets"))
 
 
-def link_assets(spark: SparkSession, folder: str) -> DataFrame:
-    return A.links(table(spark, folder, "assets"), table(spark, folder, "search_results"))
+def named_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return A.named_chunks(table(spark, folder, "assets"), table(spark, folder, "search_results"))
 
 
 def caption_numbers(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,13 +100,13 @@ def ingest_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (validate_chunks, link_assets, caption_numbers, targeted_lookup, cited_chunks, table_columns, table_markdown, stitch_groups)
+    for f in (validate_chunks, named_chunks, caption_numbers, targeted_lookup, cited_chunks, table_columns, table_markdown, stitch_groups)
     + (ocr_headings, blocks_outside_tables, captions_above, page_markdown, scan_completeness, history_context, answer_loop, ingest_stream)
 }
 
 _N = r"(?:[A-Za-zА-Яа-яЁё]\.)?[0-9]+(?:\.[0-9]+)*"
 _TABLE, _IMAGE = r"(?:таблиц[\p{L}\p{N}_]*|табл\.?|table)", r"(?:рисун[\p{L}\p{N}_]*|рис\.?|fig(?:ure)?\.?|изображени[\p{L}\p{N}_]*)"
-_NUMBER = f"nullif(lower(CASE WHEN asset_type = 'table' THEN regexp_extract(caption, '(?i){_TABLE}{ANY_BLANKS}({_N})', 1) ELSE regexp_extract(caption, '(?i){_IMAGE}{ANY_BLANKS}({_N})', 1) END), '')"
+_NUMBER = f"nullif(lower(CASE WHEN asset_type = 'table' THEN regexp_extract(caption, '(?i)^\\s*{_TABLE}\\s+({_N})', 1) ELSE regexp_extract(caption, '(?i)(?:fig|рис|рисун[\\p{{L}}\\p{{N}}_]*)[_\\s]+({_N})', 1) END), '')"
 _HEAD = r"^((?:[А-Я]\.)?\d+(?:\.\d+)*)\.\s+(\p{L}[^\n]*)$"
 _OCR_HEADINGS = f"""h AS (SELECT doc_key, page, regexp_extract(line, '{_HEAD}', 1) AS number, regexp_extract(line, '{_HEAD}', 2) AS title FROM (
   SELECT *, trim(text) AS line, count(*) OVER (PARTITION BY doc_key, page ORDER BY y RANGE BETWEEN 15 PRECEDING AND 15 FOLLOWING) AS on_line
@@ -130,7 +130,7 @@ UNION ALL SELECT 'blank text', chunk_id, NULL FROM search_results WHERE text IS
 UNION ALL SELECT 'unknown asset_id', asset_id, chunk_id FROM used WHERE asset_id IS NOT NULL AND asset_id NOT IN (SELECT asset_id FROM assets)
 UNION ALL SELECT 'unknown chunk_id', chunk_id, asset_id FROM named n WHERE NOT EXISTS (SELECT 1 FROM search_results s WHERE s.chunk_id = n.chunk_id)
 UNION ALL SELECT DISTINCT 'asset of another document', u.asset_id, u.chunk_id FROM used u JOIN assets a ON a.asset_id = u.asset_id WHERE {_key('a.document_id')} <> {_key('u.document_id')}""",
-    "link_assets": """SELECT asset_id, count(chunk_id) AS n_named, count(CASE WHEN chunk_id IN (SELECT chunk_id FROM search_results WHERE chunk_id IS NOT NULL) THEN 1 END) AS n_found
+    "named_chunks": """SELECT asset_id, count(chunk_id) AS n_named, count(CASE WHEN chunk_id IN (SELECT chunk_id FROM search_results WHERE chunk_id IS NOT NULL) THEN 1 END) AS n_found
   FROM (SELECT asset_id, chunk_id FROM (SELECT DISTINCT asset_id, unnest(chunk_ids) AS chunk_id FROM assets) UNION SELECT asset_id, NULL FROM assets) GROUP BY asset_id""",
     "caption_numbers": f"SELECT asset_id, {_NUMBER} AS number FROM assets",
     "targeted_lookup": f"""WITH asked AS (SELECT result_id, {_key('document_id')} AS document, CASE WHEN len(t) > 0 THEN 'table' ELSE 'image' END AS asset_type, lower(CASE WHEN len(t) > 0 THEN t[1] ELSE i[1] END) AS number
@@ -145,16 +145,20 @@ SELECT query_id, document_id, number, cited_id FROM asked JOIN ends USING (query
     "table_columns": f"SELECT table_id, {_COLUMNS} AS n_columns FROM ocr_tables",
     "table_markdown": f"WITH {_MARKDOWN} SELECT * FROM md",
     "stitch_groups": f"""WITH r AS (SELECT *, coalesce(is_continuation, false) AS goes_on, {_COLUMNS} AS columns FROM ocr_tables),
-p AS (SELECT *, last_value(table_num IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_num, lag(page) OVER w AS bp, lag(bbox) OVER w AS bb, lag(columns) OVER w AS bc FROM r
+p AS (SELECT *, lag(page) OVER w AS bp, lag(bbox) OVER w AS bb, lag(columns) OVER w AS bc, row_number() OVER w AS at_row FROM r
   WINDOW w AS (PARTITION BY doc_key ORDER BY page, table_index, table_id)),
-o AS (SELECT *, CASE WHEN coalesce((goes_on AND coalesce(table_num, last_num) = last_num) OR (caption IS NULL AND table_num IS NULL AND page = bp + 1 AND columns = bc AND bb.y1 >= 0.75 * 2339
-  AND least(bbox.x1, bb.x1) - greatest(bbox.x0, bb.x0) >= 0.5 * least(bbox.x1 - bbox.x0, bb.x1 - bb.x0)), false) THEN 0 ELSE 1 END AS opens FROM p),
+q AS (SELECT *, coalesce(caption, '') = '' AND coalesce(page = bp + 1 AND columns = bc AND bb.y1 >= 0.75 * 2339 AND least(bbox.x1, bb.x1) > greatest(bbox.x0, bb.x0)
+  AND least(bbox.x1, bb.x1) - greatest(bbox.x0, bb.x0) >= 0.5 * greatest(bbox.x1 - bbox.x0, bb.x1 - bb.x0), false) AS under FROM p),
+h AS (SELECT *, max(CASE WHEN NOT under THEN at_row END) OVER (PARTITION BY doc_key ORDER BY at_row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS head_row FROM q),
+o AS (SELECT h.*, CASE WHEN h.under OR (h.goes_on AND f.at_row IS NOT NULL AND h.table_num IS NOT DISTINCT FROM f.table_num) THEN 0 ELSE 1 END AS opens
+  FROM h LEFT JOIN q f ON f.doc_key = h.doc_key AND f.at_row = h.head_row),
 g AS (SELECT *, sum(opens) OVER (PARTITION BY doc_key ORDER BY page, table_index, table_id) AS grp FROM o)
 SELECT table_id, doc_key, grp::BIGINT AS "group", row_number() OVER (PARTITION BY doc_key, grp ORDER BY page, table_index, table_id) AS part FROM g""",
     "ocr_headings": f"WITH {_OCR_HEADINGS} SELECT * FROM h",
     "blocks_outside_tables": f"SELECT block_id FROM ocr_blocks b WHERE NOT {_INSIDE}",
-    "captions_above": """SELECT t.table_id, first(b.block_id ORDER BY b.bbox.y1 DESC, b.block_id) AS caption_block FROM ocr_tables t LEFT JOIN ocr_blocks b ON b.doc_key = t.doc_key AND b.page = t.page AND b.bbox.y1 <= t.bbox.y0
-  AND (coalesce(b.is_table_caption, false) OR coalesce(b.is_continuation_caption, false) OR regexp_matches(b.text, '^\\s*(?:Табл(?:ица|\\.)|Продолжение\\s+табл|Окончание\\s+табл)')) GROUP BY t.table_id""",
+    "captions_above": """SELECT t.table_id, first(b.block_id ORDER BY b.bbox.y0 DESC, b.block_id) AS caption_block FROM ocr_tables t LEFT JOIN ocr_blocks b ON b.doc_key = t.doc_key AND b.page = t.page AND b.bbox.y0 < t.bbox.y0
+  AND NOT EXISTS (SELECT 1 FROM ocr_tables o WHERE o.doc_key = t.doc_key AND o.page = t.page AND o.bbox.y0 > b.bbox.y0 AND o.bbox.y0 < t.bbox.y0)
+  AND (coalesce(b.is_table_caption, false) OR coalesce(b.is_continuation_caption, false) OR b.layout_type = 'CAPTION' OR regexp_matches(b.text, '^\\s*(?:Табл(?:ица|\\.)|Продолжение\\s+табл|Окончание\\s+табл)')) GROUP BY t.table_id""",
     "scan_completeness": f"""WITH {_OCR_HEADINGS}, w AS (SELECT DISTINCT doc_key, number FROM md_headings WHERE number IS NOT NULL AND doc_key IN (SELECT doc_key FROM h)),
 c AS (SELECT doc_key, count(*) AS n_expected, count(CASE WHEN NOT EXISTS (SELECT 1 FROM h WHERE h.doc_key = w.doc_key AND h.number = w.number) THEN 1 END) AS n_missing FROM w GROUP BY doc_key)
 SELECT *, CASE WHEN n_missing > 3 THEN 'critical' WHEN n_missing > 0 THEN 'incomplete' ELSE 'complete' END AS verdict FROM c""",
