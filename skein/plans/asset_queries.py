@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from skein.operators import scanned as O
 from skein.operators.retrieval import top_k
 from skein.operators.sessions import last_turns, search_loop
 from skein.plans.orphan_queries import _key
-from skein.session import table
+from skein.session import shared_folder, table
 from skein.streaming.ingest import ingest_latest, ingested, open_files
 
 
@@ -91,8 +90,7 @@ def answer_loop(spark: SparkSession, folder: str) -> DataFrame:
 
 def ingest_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The latest delivery of each chunk, taken in as a stream of files."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    place = f"{shared}/ingest-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     rows = open_files(spark, f"{folder}/search_results.parquet").select("chunk_id", "result_id", "query_id", "document_id", "logged_at", "score")
     ingest_latest(rows, f"{place}/rows", f"{place}/progress", "chunk_id", ["logged_at", "result_id"])
     return ingested(spark, f"{place}/rows", rows)
