@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.folding import BLANKS, CYRILLIC, FULL_WIDTH, GREEK, INVISIBLE, LATIN, ORDINARY, as_cyrillic, as_latin, fold_text
+from skein.functions.folding import CYRILLIC, FULL_WIDTH, GREEK, INVISIBLE, LATIN, ORDINARY, UNUSUAL, WORD, as_cyrillic, as_latin, fold_text
 from skein.session import cut_lineage
 
 #: Words with their canonical spelling that every task holds.
@@ -34,6 +34,9 @@ _NOT_TWIN = re.compile(f"[^0-9{CYRILLIC}{LATIN}{GREEK}]")
 _STORED = re.compile(rf"(?:[^\W_]|[{INVISIBLE}̀-ͯ])+")
 
 
+_UNUSUAL = re.compile(UNUSUAL)
+
+
 class _Folded(dict):
     """A stored word's folded form if its spelling is in question, else None; held for so many words at most."""
 
@@ -47,6 +50,11 @@ class _Folded(dict):
         return out
 
 
+def _words(text: str) -> list[str]:
+    """A text's words as they are stored; the plainer pattern finds the same where nothing is unusual."""
+    return (_STORED if _UNUSUAL.search(text) else WORD).findall(text)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words in question with their counts, added up before they leave the task."""
     asked, found = _Folded(), Counter()
@@ -57,7 +65,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in batch.column("value").to_pylist():
-            found.update(w for w in _STORED.findall(text) if asked[w] is not None)
+            found.update(w for w in _words(text) if asked[w] is not None)
         if len(found) > 200_000:
             yield out()
             found.clear()
@@ -123,22 +131,16 @@ def _inspect(batches: Iterator[pa.RecordBatch], columns: list[str], spellings: B
                     forms.append(None)
                     opened.append([])
                     continue
-                rare: list[str] = []
-
-                def right(m: re.Match) -> str:
-                    word = m[0]
-                    if asked[word] is None:
-                        return word
-                    if (found := held.get(word)) is None:
-                        rare.append(word)
-                        return word
-                    return found
-
-                form = _STORED.sub(right, text)
-                # Words that wait keep their characters; everything between words is ordinary at once.
-                form = _between(form) if rare else fold_text(form)
-                forms.append(form if texts else form != text)
-                opened.append(sorted(set(rare)))
+                words = {w for w in _words(text) if asked[w] is not None}
+                respelled = {w: held[w] for w in words if held.get(w, w) != w}
+                rare = sorted(w for w in words if w not in held)
+                if texts:
+                    form = _STORED.sub(lambda m: respelled.get(m[0], m[0]), text) if respelled else text
+                    # Words that wait keep their characters; everything between words is ordinary at once.
+                    forms.append(_between(form) if rare else fold_text(form))
+                else:
+                    forms.append(bool(respelled) or fold_text(text) != text)
+                opened.append(rare)
             made += [pa.array(forms, pa.string() if texts else pa.bool_()), pa.array(opened, pa.list_(pa.string()))]
         names = [n for i in range(len(columns)) for n in (f"__form_{i}", f"__open_{i}")]
         kept = [n for n in batch.schema.names if texts or n not in columns]
