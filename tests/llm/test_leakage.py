@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from skein.functions.folding import WORD, fold_text, word_skeleton
 from skein.llm.leakage import leaks, without_leaks
 
@@ -29,7 +31,7 @@ def made():
     rng = random.Random(4)
     vocabulary = [f"слово{i}" for i in range(300)]
     items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([5, 13, 40])))) for i in range(30)] + [(90, None), (91, "")]
-    items.append((92, items[3][1]))
+    items += [(92, items[3][1]), (7, " ".join(rng.choices(vocabulary, k=20)))]
     docs = []
     for d in range(120):
         text = rng.choices(vocabulary, k=rng.choice([0, 20, 60]))
@@ -50,15 +52,19 @@ def test_against_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in leaks(left, right, most_grams=300).collect()} == want
 
 
-def test_removal(spark):
+@pytest.mark.parametrize("most_grams", [1_000_000, 300])
+def test_removal(spark, most_grams):
     docs, items = made()
-    left, right = tables(spark, docs[:-1], items)
-    out = {r.doc_id: r for r in without_leaks(left, right).collect()}
-    assert 502 not in out and out[500].text is None and out[501].text == ""
-    assert out[503].n_removed == len(words(items[3][1]))
-    assert not brute([(d, r.text) for d, r in out.items()], items)
-    clean = {d for d, _ in docs[:-1]} - {d for d, _ in brute(docs[:-1], items)}
-    assert all(out[d].text == t for d, t in docs[:-1] if d in clean)
+    # Two texts under one id, and a leaked text without an id.
+    docs += [(None, docs[-1][1] + " хвост " * 60), (7, "иной текст"), (9, items[-1][1] + " и ещё " * 20)]
+    left, right = tables(spark, docs, items)
+    out = [(r.doc_id, r.text, r.n_words, r.n_removed) for r in without_leaks(left, right, most_grams=most_grams).collect()]
+    numbered = list(enumerate(t for _, t in docs))
+    leaked = {d for d, _ in brute(numbered, items)}
+    assert not brute([(i, r[1]) for i, r in enumerate(out)], items)
+    clean = sorted((str(d), str(t)) for i, (d, t) in enumerate(docs) if i not in leaked)
+    assert sorted((str(r[0]), str(r[1])) for r in out if not r[3]) == clean
+    assert {r[0] for r in out if r[3]} >= {None, 9, 503} and all(r[3] <= r[2] / 2 for r in out)
 
 
 def test_empty(spark):
