@@ -10,16 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from pathlib import Path
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
-#: Slots of a schedule at most: more tokens make larger blocks, not more slots.
-MOST_SLOTS = 1 << 20
-LEAST_BLOCK = 256
-#: Documents that one task brings into order and adds up.
+#: Tokens of a slot, whatever the size of the mix.
+BLOCK_TOKENS = 256
+#: Documents, and slots, that one task brings into order.
 BUCKET_ROWS = 50_000
 # Fixed value: 2**32 over the golden ratio, odd.
 _GOLDEN = 2654435769
@@ -34,7 +35,7 @@ def source_name(column: Column) -> Column:
 def _count(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.RecordBatch]:
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer)
+    model = sentencepiece.SentencePieceProcessor(model_file=SparkFiles.get(tokenizer))
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]
         n = [len(x) for x in model.encode(texts, num_threads=1)] if texts else []
@@ -42,22 +43,32 @@ def _count(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.Rec
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id, source in one spelling, n_tokens by the vocabulary file of a public tokenizer; null texts count zero."""
+    """doc_id, source in one spelling, n_tokens by the vocabulary file of a public tokenizer; null texts count zero.
+
+    ``tokenizer`` is a path that the driver can read; the file goes to the executors.
+    """
+    documents.sparkSession.sparkContext.addFile(tokenizer)
     rows = documents.select("doc_id", source_name(F.col("source")).alias("source"), "text")
-    return rows.mapInArrow(partial(_count, tokenizer=tokenizer), "doc_id bigint, source string, n_tokens bigint")
+    return rows.mapInArrow(partial(_count, tokenizer=Path(tokenizer).name), "doc_id bigint, source string, n_tokens bigint")
 
 
 def schedule(spark, weights: list[tuple[str, float]], n_slots: int) -> DataFrame:
-    """slot, source, turn (how many slots of the source came before). At most MOST_SLOTS slots."""
-    if n_slots > MOST_SLOTS:
-        raise ValueError("make the blocks larger: too many slots")
-    point = (F.col("slot") * _GOLDEN) % (1 << 32)
+    """slot, source, turn (how many slots of the source came before).
+
+    Turns go in two steps, over stretches of slots and inside them, so that no source is ranked in one task.
+    """
+    # slot times GOLDEN, modulo 2**32, without leaving 64 bits.
+    point = ((F.col("slot") % (1 << 31)) * _GOLDEN + (F.expr(f"slot div {1 << 31}") % 2) * (1 << 31)) % (1 << 32)
     whole, edge, source = sum(w for _, w in weights), 0.0, F.lit(weights[-1][0])
     for name, weight in reversed(weights[:-1]):
         edge += weights[[n for n, _ in weights].index(name) + 1][1]
         source = F.when(point < int((whole - edge) / whole * (1 << 32)), name).otherwise(source)
-    slots = spark.range(n_slots).toDF("slot").select("slot", source.alias("source"))
-    return slots.withColumn("turn", F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1)
+    slots = spark.range(n_slots).toDF("slot").select("slot", source.alias("source"), F.expr(f"slot div {BUCKET_ROWS}").alias("stretch"))
+    counts = slots.groupBy("source", "stretch").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("source", "stretch", before.alias("before"))
+    inside = slots.withColumn("own", F.row_number().over(Window.partitionBy("source", "stretch").orderBy("slot")) - 1)
+    return inside.join(offsets, ["source", "stretch"]).select("slot", "source", (F.col("before") + F.col("own")).alias("turn"))
 
 
 def _blocks(docs: DataFrame, block_tokens: int, n_docs: int) -> DataFrame:
@@ -75,8 +86,8 @@ def _blocks(docs: DataFrame, block_tokens: int, n_docs: int) -> DataFrame:
     return placed.select("source", "repetition", "doc_id", "n_tokens", F.expr(f"(offset + before) div {block_tokens}").alias("turn"))
 
 
-def mix(tokens: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
-    """The mix: slot, source, doc_id, repetition (0 for the first use), n_tokens.
+def mix(tokens: DataFrame, targets: DataFrame, total_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """The mix: slot, source, doc_id, repetition (0 for the first use), n_tokens. A slot holds ``block_tokens`` tokens.
 
     ``tokens``: doc_id, source, n_tokens. ``targets``: source, target_share, max_repeats (one row per
     source, so few; they alone come to the driver, with one total per target). Without ``total_tokens``
@@ -95,12 +106,11 @@ def mix(tokens: DataFrame, targets: DataFrame, total_tokens: int | None = None)
         return spark.createDataFrame([], empty)
     whole = sum(share for _, share, *_ in found)
     total = total_tokens or int(min(there * repeats * whole / share for _, share, repeats, there, _ in found))
-    block = max(LEAST_BLOCK, -(-total // MOST_SLOTS))
-    slots = schedule(spark, [(name, share) for name, share, *_ in found], max(1, total // block))
+    slots = schedule(spark, [(name, share) for name, share, *_ in found], max(1, total // block_tokens))
     # As many repetitions as a source's tokens make necessary, within its limit.
     needed = spark.createDataFrame([(name, min(repeats, int(total * share / whole // there) + 1)) for name, share, repeats, there, _ in found], "source string, needed int")
     used = docs.join(F.broadcast(needed), "source").select("source", "doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), F.col("needed") - 1)).alias("repetition"))
-    blocks = _blocks(used, block, sum(n * r for *_, r, _, n in found))
+    blocks = _blocks(used, block_tokens, sum(n * r for *_, r, _, n in found))
     return slots.join(blocks, ["source", "turn"]).select("slot", "source", "doc_id", "repetition", "n_tokens")
 
 

@@ -94,6 +94,13 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return mix_report(mix(tokens, targets), tokens, targets)
 
 
+def p7_whole_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares reached where the mix is to be as large as the whole corpus: scarce sources run into their limit of repeats."""
+    tokens, targets = cut_lineage(token_counts(table(spark, folder, "documents"))), table(spark, folder, "mix_targets")
+    whole = tokens.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).head()[0]
+    return mix_report(mix(tokens, targets, whole), tokens, targets)
+
+
 def _scores(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     return abuse_scores(documents, fit(documents, table(spark, folder, "labels")))
@@ -111,7 +118,7 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
     return abuse_rates(_scores(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p2_found, p2_groups, p2_links, p3_found, p3_pieces, p4_found, p4_repaired, p6_found, p6_items, p6_clean, p7_mix, p7_report, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p2_found, p2_groups, p2_links, p3_found, p3_pieces, p4_found, p4_repaired, p6_found, p6_items, p6_clean, p7_mix, p7_report, p7_whole_report, p8_found, p8_scores, p8_rates)}
 
 def _words() -> str:
     """A text's words as the operators see them, in the oracle's SQL."""

@@ -1,6 +1,5 @@
-import pytest
-
-from skein.llm.mixing import MOST_SLOTS, mix, mix_report, schedule, token_counts
+import skein.llm.mixing as mixing
+from skein.llm.mixing import mix, mix_report, schedule, token_counts
 
 TOKENS = "doc_id bigint, source string, n_tokens bigint"
 TARGETS = "source string, target_share double, max_repeats int, slot int"
@@ -31,8 +30,21 @@ def test_any_stretch_holds_the_shares(spark):
     for begin in range(0, 2000, 250):
         part = slots[begin : begin + 250]
         assert abs(part.count("a") / 250 - 0.5) < 0.02 and abs(part.count("c") / 250 - 0.2) < 0.02
-    with pytest.raises(ValueError):
-        schedule(spark, [("a", 1.0)], MOST_SLOTS + 1)
+
+
+def test_turns_count_over_stretches(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 70)
+    rows = schedule(spark, [("a", 0.5), ("b", 0.3), ("c", 0.2)], 1000).orderBy("slot").collect()
+    seen = {}
+    for r in rows:
+        assert r.turn == seen.get(r.source, 0)
+        seen[r.source] = r.turn + 1
+
+
+def test_the_size_of_a_slot_does_not_change_the_shares(spark):
+    tokens, targets = tables(spark, [("a", 3000, 60), ("b", 1500, 60)], [("a", 0.7, 1), ("b", 0.3, 1)])
+    for block in (64, 1000):
+        assert all(r.met for r in mix_report(mix(tokens, targets, block_tokens=block), tokens, targets).collect())
 
 
 def test_unreachable_targets(spark):
