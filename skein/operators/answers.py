@@ -102,8 +102,7 @@ def targeted_chunks(questions: DataFrame, assets: DataFrame) -> DataFrame:
     count; if not exactly one is left, nothing is found. Assets come in only after the document is known,
     so a number that every document has costs no more than any other.
     """
-    refs = asset_references(F.col("text"))
-    asked = questions.where("text IS NOT NULL").select("id", refs.alias("refs")).where(F.size("refs") > 0).select("id", F.get("refs", F.lit(0)).alias("x")).select("id", "x.asset_type", "x.number")
+    asked = questions.where("text IS NOT NULL").select("id", F.explode(F.slice(asset_references(F.col("text")), 1, 1)).alias("x")).select("id", "x.asset_type", "x.number")
     numbered = assets.select(reference_key(F.col("document_id")).alias("document"), "asset_type", caption_number(F.col("asset_type"), F.col("caption")).alias("number"), "chunk_ids")
     numbered = numbered.where("number IS NOT NULL AND document IS NOT NULL")
     holders = numbered.select("document", "asset_type", "number").distinct()

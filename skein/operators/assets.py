@@ -44,9 +44,9 @@ def look_up(rows: DataFrame, assets: DataFrame, key: str) -> DataFrame:
     Counts per number and per document are joined, never the assets themselves, so that a number that
     every document has costs no more than any other.
     """
-    first = F.try_element_at(asset_references(F.col("text")), F.lit(1))
-    asked = rows.select(key, reference_key(F.col("document_id")).alias("document"), F.when(F.size(asset_references(F.col("text"))) > 0, first).alias("x"))
-    asked = asked.where("x IS NOT NULL").select(key, "document", "x.asset_type", "x.number")
+    # A generator reads each text once and drops those that name nothing.
+    asked = rows.select(key, reference_key(F.col("document_id")).alias("document"), F.explode(F.slice(asset_references(F.col("text")), 1, 1)).alias("x"))
+    asked = asked.select(key, "document", "x.asset_type", "x.number")
     numbered = assets.select(reference_key(F.col("document_id")).alias("document"), "asset_type", caption_number(F.col("asset_type"), F.col("caption")).alias("number"))
     numbered = numbered.where("number IS NOT NULL AND document IS NOT NULL").distinct()
     spread = numbered.groupBy("asset_type", "number").agg(F.count(F.lit(1)).alias("n_documents"))

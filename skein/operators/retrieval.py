@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial, reduce
 
 import numpy as np
@@ -12,14 +12,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.folding import WORD
+from skein.session import cut_lineage
 
 RETRIEVE, FINAL = 30, 6
 RRF_CONSTANT, RRF_THRESHOLD = 2, 0.15
 EXACT, GOOD = 0.78, 0.72
 #: Saturation of term frequencies.
 TF_K, TF_B, TF_LENGTH = 1.2, 0.75, 256.0
-#: Queries that one broadcast holds at most; more are answered block by block.
+#: Queries that one broadcast holds at most; more are answered block by block, one after another.
 QUERY_BLOCK = 4096
+#: Scores that a task holds at once: queries of a block times rows of a slice.
+MOST_SCORES = 1 << 22
 
 
 def top_k(scored: DataFrame, query: str, order: list[Column], k: int) -> DataFrame:
@@ -28,10 +31,19 @@ def top_k(scored: DataFrame, query: str, order: list[Column], k: int) -> DataFra
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _blocks(queries: DataFrame, key: str) -> list[list]:
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    return [queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i).collect() for i in range(blocks)]
+def _by_blocks(queries: DataFrame, key: str, answer: Callable[[list], tuple[DataFrame, Broadcast]]) -> list[DataFrame]:
+    """The answers to blocks of queries. Of several blocks each is collected, answered and released before the next."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    out = []
+    for i in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i).collect()
+        if rows:
+            part, shared = answer(rows)
+            if blocks > 1:
+                part = cut_lineage(part)
+                shared.unpersist()
+            out.append(part)
+    return out
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, k: int) -> pa.RecordBatch:
@@ -42,19 +54,43 @@ def _best(scores: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, k: int) ->
         some = some[np.lexsort((ids[some], -row[some]))[:k]]
         for column, value in zip(out, (np.full(len(some), q), ids[some], row[some])):
             column.append(value)
-    made = [np.concatenate(c) if c else np.zeros(0) for c in out]
+    return _batch([np.concatenate(c) if c else np.zeros(0) for c in out])
+
+
+def _batch(made: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(made[0], pa.int64()), pa.array(made[1], pa.int64()), pa.array(made[2], pa.float64())], ["query_id", "id", "score"])
 
 
+def _slices(rows: int, queries: int) -> Iterator[slice]:
+    step = max(1, MOST_SCORES // max(1, queries))
+    return (slice(i, i + step) for i in range(0, rows, step))
+
+
+def _best_of(parts: list[pa.RecordBatch], k: int) -> pa.RecordBatch:
+    """The k best rows of each query from the best of several slices."""
+    if len(parts) == 1:
+        return parts[0]
+    query, row, score = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in range(3))
+    order = np.lexsort((row, -score, query))
+    query, row, score = query[order], row[order], score[order]
+    first = np.searchsorted(query, query)
+    kept = np.arange(len(query)) - first < k
+    return _batch([query[kept], row[kept], score[kept]])
+
+
 def _dense(batches: Iterator[pa.RecordBatch], queries: Broadcast, k: int) -> Iterator[pa.RecordBatch]:
     query_ids, wanted = queries.value
     for batch in batches:
         column = batch.column("vector")
         vectors = column.flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
         norms = np.linalg.norm(vectors, axis=1)
-        scores = wanted @ (vectors / np.where(norms > 0, norms, 1)[:, None]).T
-        scores[:, norms == 0] = -np.inf
-        yield _best(scores, batch.column("id").to_numpy(), query_ids, k)
+        unit, ids, parts = vectors / np.where(norms > 0, norms, 1)[:, None], batch.column("id").to_numpy(), []
+        for part in _slices(batch.num_rows, len(query_ids)):
+            scores = wanted @ unit[part].T
+            scores[:, norms[part] == 0] = -np.inf
+            parts.append(_best(scores, ids[part], query_ids, k))
+        if parts:
+            yield _best_of(parts, k)
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = RETRIEVE) -> DataFrame:
@@ -65,14 +101,15 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = RETRIEVE) -> Da
     """
     context = vectors.sparkSession.sparkContext
     usable = vectors.where("id IS NOT NULL AND vector IS NOT NULL").select("id", "vector")
-    parts = []
-    for rows in _blocks(queries.where("id IS NOT NULL AND vector IS NOT NULL").select("id", "vector"), "id"):
-        if rows:
-            wanted = np.array([r["vector"] for r in rows], np.float64)
-            norms = np.linalg.norm(wanted, axis=1)
-            kept = norms > 0
-            shared = context.broadcast((np.array([r["id"] for r in rows], np.int64)[kept], wanted[kept] / norms[kept, None]))
-            parts.append(usable.mapInArrow(partial(_dense, queries=shared, k=k), "query_id bigint, id bigint, score double"))
+
+    def answer(rows: list) -> tuple[DataFrame, Broadcast]:
+        wanted = np.array([r["vector"] for r in rows], np.float64)
+        norms = np.linalg.norm(wanted, axis=1)
+        kept = norms > 0
+        shared = context.broadcast((np.array([r["id"] for r in rows], np.int64)[kept], wanted[kept] / norms[kept, None]))
+        return usable.mapInArrow(partial(_dense, queries=shared, k=k), "query_id bigint, id bigint, score double"), shared
+
+    parts = _by_blocks(queries.where("id IS NOT NULL AND vector IS NOT NULL").select("id", "vector"), "id", answer)
     if not parts:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
     return top_k(reduce(DataFrame.unionByName, parts), "query_id", [F.desc("score"), F.asc("id")], k)
@@ -94,15 +131,19 @@ def _weights(text: str) -> tuple[list[str], np.ndarray]:
 def _sparse(batches: Iterator[pa.RecordBatch], queries: Broadcast, k: int) -> Iterator[pa.RecordBatch]:
     query_ids, postings = queries.value
     for batch in batches:
-        scores = np.full((len(query_ids), batch.num_rows), -np.inf)
-        for row, text in enumerate(batch.column("text").to_pylist()):
-            sums, hit = np.zeros(len(query_ids)), np.zeros(len(query_ids), bool)
-            for term, weight in zip(*_weights(text)):
-                if (found := postings.get(term)) is not None:
-                    sums[found[0]] += found[1] * weight
-                    hit[found[0]] = True
-            scores[hit, row] = sums[hit]
-        yield _best(scores, batch.column("id").to_numpy(), query_ids, k)
+        texts, ids, parts = batch.column("text").to_pylist(), batch.column("id").to_numpy(), []
+        for part in _slices(batch.num_rows, len(query_ids)):
+            scores = np.full((len(query_ids), len(texts[part])), -np.inf)
+            for row, text in enumerate(texts[part]):
+                sums, hit = np.zeros(len(query_ids)), np.zeros(len(query_ids), bool)
+                for term, weight in zip(*_weights(text)):
+                    if (found := postings.get(term)) is not None:
+                        sums[found[0]] += found[1] * weight
+                        hit[found[0]] = True
+                scores[hit, row] = sums[hit]
+            parts.append(_best(scores, ids[part], query_ids, k))
+        if parts:
+            yield _best_of(parts, k)
 
 
 def sparse_top_k(texts: DataFrame, queries: DataFrame, k: int = RETRIEVE) -> DataFrame:
@@ -113,8 +154,8 @@ def sparse_top_k(texts: DataFrame, queries: DataFrame, k: int = RETRIEVE) -> Dat
     """
     context = texts.sparkSession.sparkContext
     usable = texts.where("id IS NOT NULL AND text IS NOT NULL").select("id", "text")
-    parts = []
-    for rows in _blocks(queries.where("id IS NOT NULL AND text IS NOT NULL").select("id", "text"), "id"):
+
+    def answer(rows: list) -> tuple[DataFrame, Broadcast]:
         lists: dict[str, tuple[list[int], list[float]]] = {}
         for i, r in enumerate(rows):
             for term, weight in zip(*_weights(r["text"])):
@@ -122,7 +163,11 @@ def sparse_top_k(texts: DataFrame, queries: DataFrame, k: int = RETRIEVE) -> Dat
                 at[0].append(i)
                 at[1].append(weight)
         shared = context.broadcast((np.array([r["id"] for r in rows], np.int64), {t: (np.array(i), np.array(w)) for t, (i, w) in lists.items()}))
-        parts.append(usable.mapInArrow(partial(_sparse, queries=shared, k=k), "query_id bigint, id bigint, score double"))
+        return usable.mapInArrow(partial(_sparse, queries=shared, k=k), "query_id bigint, id bigint, score double"), shared
+
+    parts = _by_blocks(queries.where("id IS NOT NULL AND text IS NOT NULL").select("id", "text"), "id", answer)
+    if not parts:
+        return texts.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
     return top_k(reduce(DataFrame.unionByName, parts), "query_id", [F.desc(F.round("score", 9)), F.asc("id")], k)
 
 

@@ -16,8 +16,7 @@ def dense_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 def sparse_topk(spark: SparkSession, folder: str) -> DataFrame:
     texts = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
-    queries = table(spark, folder, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return R.sparse_top_k(texts, queries).withColumn("score", F.round("score", 5))
+    return R.sparse_top_k(texts, texts.where("id % 50 = 0")).withColumn("score", F.round("score", 5))
 
 
 def _results(spark: SparkSession, folder: str) -> DataFrame:
@@ -136,8 +135,8 @@ ORACLE = {
   SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS s,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) AS rank
   FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0) WHERE rank <= 30""",
-    "sparse_topk": f"""WITH d AS ({_terms('documents', 'doc_id')}), q AS ({_terms('benchmark', 'item_id')}),
-s AS (SELECT item_id AS query_id, doc_id AS id, sum(d.w * q.w) AS score FROM d JOIN q USING (term) GROUP BY ALL)
+    "sparse_topk": f"""WITH d AS ({_terms('documents', 'doc_id')}), q AS ({_terms('(SELECT * FROM documents WHERE doc_id % 50 = 0)', 'doc_id')}),
+s AS (SELECT q.doc_id AS query_id, d.doc_id AS id, sum(d.w * q.w) AS score FROM d JOIN q USING (term) GROUP BY ALL)
 SELECT query_id, id, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s) WHERE rank <= 30""",
     "rrf_fusion": f"WITH {_fused()} SELECT query_id, result_id, rrf_score, rank FROM fused",
     "rrf_filtered": f"WITH {_fused()} SELECT * FROM passed",

@@ -201,6 +201,8 @@ SELECT result_id, count(*)::INT AS n_cells, string_agg(cell, '|' ORDER BY cell)
   coalesce(array_to_string(list_filter([heading_texts.chapter, heading_texts.section, heading_texts.clause], lambda x: x <> ''), ' → '), ''), coalesce(text, ''),
   CASE WHEN len(list_filter(assets, lambda a: a.caption <> '')) > 0 THEN 'Содержит: ' || array_to_string(list_transform(list_filter(assets, lambda a: a.caption <> ''),
     lambda a: CASE WHEN a.asset_type = 'table' THEN 'Таблица: ' ELSE 'Рисунок: ' END || a.caption), '; ') ELSE '' END], lambda p: trim(p) <> ''), chr(10) || chr(10)) AS embedding_text FROM search_results""",
+    "point_ids": """SELECT result_id, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], substring('89ab', ((('0x' || h[17:17])::INT & 3) + 1)::BIGINT, 1) || h[18:20], h[21:32]) AS point_id FROM (
+  SELECT result_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(chunk_id || '::' || result_id)) AS h FROM search_results WHERE chunk_id IS NOT NULL)""",
     "registry_overlay": """SELECT doc_key, rec_id, document_id, status, title FROM (SELECT *, row_number() OVER (PARTITION BY doc_key ORDER BY loaded_at DESC NULLS LAST, rec_id DESC) AS t FROM registry) WHERE t = 1""",
     "registry_fields": rf"""SELECT rec_id, strftime(try_strptime(CASE WHEN regexp_matches(date_enacted, '\d{{4}}-\d{{2}}-\d{{2}}') THEN regexp_extract(date_enacted, '\d{{4}}-\d{{2}}-\d{{2}}')
     WHEN regexp_matches(date_enacted, '\d{{2}}\.\d{{2}}\.\d{{4}}') THEN regexp_replace(regexp_extract(date_enacted, '\d{{2}}\.\d{{2}}\.\d{{4}}'), '(..).(..).(....)', '\3-\2-\1')

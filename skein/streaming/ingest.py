@@ -36,11 +36,12 @@ def open_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", place.getName()).parquet(str(place.getParent().toString()))
 
 
-def ingest_latest(stream: DataFrame, target: str, checkpoint: str, key: str, order: list[str], buckets: int = 16) -> None:
+def ingest_latest(stream: DataFrame, target: str, checkpoint: str, key: str, order: list[str], buckets: int = 64, writers: int = 4) -> None:
     """Take in all that a stream has now, then stop. ``target`` holds the latest row per key.
 
-    Keys are spread over ``buckets`` partitions; a batch rewrites those it touches, and is made whole
-    before anything is replaced. A batch taken in twice changes nothing, so a retry is safe.
+    Keys are spread over ``buckets`` partitions, to be chosen for the size the table will have, and kept; a
+    batch rewrites those it touches, each by up to ``writers`` tasks, and is made whole before anything is
+    replaced. A batch taken in twice changes nothing, so a retry is safe.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
@@ -52,6 +53,6 @@ def ingest_latest(stream: DataFrame, target: str, checkpoint: str, key: str, ord
         if _exists(spark, target):
             new = new.unionByName(spark.read.parquet(target).where(F.col("bucket").isin(touched)).select(*new.columns))
         merged = cut_lineage(latest(new, key, order))
-        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
+        merged.repartition("bucket", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(writers))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
