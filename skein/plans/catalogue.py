@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skein.plans import answer_queries, asset_queries, index_queries, markdown_queries, orphan_queries, retrieval_queries, structure_queries, text_queries
+from skein.plans import answer_queries, asset_queries, index_queries, markdown_queries, orphan_queries, retrieval_queries, source_queries, structure_queries, text_queries
 
-_MODULES = (retrieval_queries, structure_queries, asset_queries, text_queries, index_queries, markdown_queries, answer_queries, orphan_queries)
+_MODULES = (retrieval_queries, structure_queries, asset_queries, text_queries, index_queries, markdown_queries, answer_queries, source_queries, orphan_queries)
 
 
 def queries() -> dict:
