@@ -80,8 +80,8 @@ def stitch_groups(tables: DataFrame) -> DataFrame:
     return rows.select("table_id", "doc_key", "group", part.alias("part"))
 
 
-def table_markdown(tables: DataFrame) -> DataFrame:
-    """Each table's cells as a pipe table: table_id, markdown. Spans repeat their text; the first of two texts in one place wins."""
+def table_rows(tables: DataFrame) -> DataFrame:
+    """The rows of each table's matrix: table_id, row, cells (array of texts by column). Spans repeat their text; the first of two texts in one place wins."""
     cells = tables.select("table_id", F.posexplode("cells").alias("pos", "c"))
     down = F.sequence(F.col("c.row"), F.col("c.row") + F.greatest(F.coalesce("c.rowspan", F.lit(1)), F.lit(1)) - 1)
     right = F.sequence(F.col("c.col"), F.col("c.col") + F.greatest(F.coalesce("c.colspan", F.lit(1)), F.lit(1)) - 1)
@@ -89,12 +89,73 @@ def table_markdown(tables: DataFrame) -> DataFrame:
     text = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce("text", F.lit(""))), r"\s*\n\s*", " "), r"\|", r"\\|")
     matrix = spread.groupBy("table_id", "row", "col").agg(F.min_by(text, F.struct((text == "").cast("int"), "pos")).alias("text"))
     lines = matrix.groupBy("table_id", "row").agg(F.sort_array(F.collect_list(F.struct("col", "text"))).alias("cells"))
-    line = F.concat(F.lit("| "), F.array_join(F.transform("cells", lambda c: c["text"]), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.size("cells")))
-    made = lines.select("table_id", "row", F.when(F.col("row") == 0, F.concat(line, F.lit("\n"), rule)).otherwise(line).alias("line"))
+    return lines.select("table_id", "row", F.transform("cells", lambda c: c["text"]).alias("cells"))
+
+
+def _pipe_line(first: Column) -> Column:
+    line = F.concat(F.lit("| "), F.array_join("cells", " | "), F.lit(" |"))
+    return F.when(first, F.concat(line, F.lit("\n|"), F.repeat(F.lit("---|"), F.size("cells")))).otherwise(line)
+
+
+def table_markdown(tables: DataFrame) -> DataFrame:
+    """Each table's cells as a pipe table: table_id, markdown."""
+    made = table_rows(tables).select("table_id", "row", _pipe_line(F.col("row") == 0).alias("line"))
     return made.groupBy("table_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("markdown"))
 
 
+def stitched_tables(tables: DataFrame) -> DataFrame:
+    """Tables over several pages as one pipe table each: doc_key, group, caption, n_parts, markdown.
+
+    Parts follow each other as in stitch_groups; of a later part, the leading rows that repeat those of the
+    first (without regard to case) fall away, other equal rows stay. The caption is the first part's.
+    """
+    groups = stitch_groups(tables)
+    rows = table_rows(tables).join(groups, "table_id").withColumn("sign", F.lower(F.array_join("cells", "|")))
+    heads = rows.where("part = 1").select("doc_key", "group", "row", F.col("sign").alias("head_sign"))
+    rows = rows.join(heads, ["doc_key", "group", "row"], "left")
+    so_far = Window.partitionBy("doc_key", "group", "part").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.max((~F.col("sign").eqNullSafe(F.col("head_sign"))).cast("int")).over(so_far)
+    kept = rows.withColumn("own", own).where("part = 1 OR own = 1")
+    lines = F.sort_array(F.collect_list(F.struct("part", "row", _pipe_line((F.col("part") == 1) & (F.col("row") == 0)).alias("line"))))
+    made = kept.groupBy("doc_key", "group").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("markdown"))
+    about = groups.join(tables.select("table_id", "caption"), "table_id").groupBy("doc_key", "group").agg(F.min_by("caption", "part").alias("caption"), F.count(F.lit(1)).alias("n_parts"))
+    return about.join(made, ["doc_key", "group"], "left").select("doc_key", "group", "caption", "n_parts", "markdown")
+
+
+NOTE = r"(?iu)^(?:П\s*р\s*и\s*м\s*е\s*ч\s*а\s*н\s*и\s*[ея]|Примечани[ея])"
+
+
+def table_notes(tables: DataFrame) -> DataFrame:
+    """The note that a table's last row is: table_id, note; tables without one are left out.
+
+    A row is a note if its first cell says so, or if all its cells with text, two at least, say the same.
+    Tables of one row have none.
+    """
+    last = table_rows(tables).groupBy("table_id").agg(F.max_by("cells", "row").alias("cells"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = F.get("cells", F.lit(0))
+    extra = F.filter(F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0))), lambda c: (c != "") & (c != first))
+    full = F.filter("cells", lambda c: c != "")
+    alike = (F.size(full) >= 2) & (F.size(F.array_distinct(full)) == 1)
+    note = F.when(first.rlike(NOTE), F.array_join(F.concat(F.array(first), extra), " ")).when(alike, F.get(full, F.lit(0)))
+    return last.select("table_id", note.alias("note")).where("note IS NOT NULL")
+
+
+def merged_headers(tables: DataFrame) -> DataFrame:
+    """Headers of two rows as one: table_id, header (array of texts), merged.
+
+    Where the first columns of the first two rows are equal, as under a span, and later ones differ, the texts
+    from there on are put together; otherwise the first row is the header.
+    """
+    two = table_rows(tables).where("row <= 1").groupBy("table_id").agg(F.max(F.when(F.col("row") == 0, F.col("cells"))).alias("a"), F.max(F.when(F.col("row") == 1, F.col("cells"))).alias("b"))
+    width = F.greatest(F.size("a"), F.coalesce(F.size("b"), F.lit(0)))
+    at = lambda c, i: F.coalesce(F.get(c, i), F.lit(""))
+    columns = F.sequence(F.lit(0), width - 1)
+    split = F.array_min(F.filter(columns, lambda i: at("a", i) != at("b", i)))
+    merges = F.coalesce(F.col("b").isNotNull() & (split > 0), F.lit(False))
+    joined = F.transform(columns, lambda i: F.when(i < split, at("a", i)).otherwise(F.concat_ws(" ", F.nullif(at("a", i), F.lit("")), F.nullif(at("b", i), F.lit("")))))
+    return two.where("a IS NOT NULL").select("table_id", F.when(merges, joined).otherwise(F.col("a")).alias("header"), merges.alias("merged"))
+
+
 def page_markdown(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     """Each page in reading order: doc_key, page, markdown. Section headers become headings; repeated blocks count once."""
     kept = outside_tables(blocks.dropDuplicates(["doc_key", "page", "pos"]), tables).where("text IS NOT NULL AND text <> ''")

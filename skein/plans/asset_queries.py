@@ -49,6 +49,18 @@ def stitch_groups(spark: SparkSession, folder: str) -> DataFrame:
     return O.stitch_groups(table(spark, folder, "ocr_tables"))
 
 
+def stitched_tables(spark: SparkSession, folder: str) -> DataFrame:
+    return O.stitched_tables(table(spark, folder, "ocr_tables"))
+
+
+def table_notes(spark: SparkSession, folder: str) -> DataFrame:
+    return O.table_notes(table(spark, folder, "ocr_tables"))
+
+
+def merged_headers(spark: SparkSession, folder: str) -> DataFrame:
+    return O.merged_headers(table(spark, folder, "ocr_tables")).withColumn("header", F.array_join("header", " | "))
+
+
 def _headings(spark: SparkSession, folder: str) -> DataFrame:
     return O.headings(table(spark, folder, "ocr_blocks"))
 
@@ -98,7 +110,7 @@ def ingest_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (validate_chunks, named_chunks, caption_numbers, targeted_lookup, cited_chunks, table_columns, table_markdown, stitch_groups)
+    for f in (validate_chunks, named_chunks, caption_numbers, targeted_lookup, cited_chunks, table_columns, table_markdown, stitch_groups, stitched_tables, table_notes, merged_headers)
     + (ocr_headings, blocks_outside_tables, captions_above, page_markdown, scan_completeness, history_context, answer_loop, ingest_stream)
 }
 
@@ -120,6 +132,17 @@ _MARKDOWN = r"""m AS (SELECT table_id, c.row AS r0, c.col AS c0, coalesce(c.rows
   md AS (SELECT table_id, string_agg(line, chr(10) ORDER BY row) AS markdown FROM l GROUP BY table_id)"""
 _COLUMNS = "coalesce(list_max(list_transform(cells, lambda c: c.col + coalesce(c.colspan, 1))), 0)"
 
+_STITCHED = f"""r AS (SELECT *, coalesce(is_continuation, false) AS goes_on, {_COLUMNS} AS columns FROM ocr_tables),
+p AS (SELECT *, lag(page) OVER w AS bp, lag(bbox) OVER w AS bb, lag(columns) OVER w AS bc, row_number() OVER w AS at_row FROM r
+  WINDOW w AS (PARTITION BY doc_key ORDER BY page, table_index, table_id)),
+q AS (SELECT *, coalesce(caption, '') = '' AND coalesce(page = bp + 1 AND columns = bc AND bb.y1 >= 0.75 * 2339 AND least(bbox.x1, bb.x1) > greatest(bbox.x0, bb.x0)
+  AND least(bbox.x1, bb.x1) - greatest(bbox.x0, bb.x0) >= 0.5 * greatest(bbox.x1 - bbox.x0, bb.x1 - bb.x0), false) AS under FROM p),
+h AS (SELECT *, max(CASE WHEN NOT under THEN at_row END) OVER (PARTITION BY doc_key ORDER BY at_row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS head_row FROM q),
+o AS (SELECT h.*, CASE WHEN h.under OR (h.goes_on AND f.at_row IS NOT NULL AND h.table_num IS NOT DISTINCT FROM f.table_num) THEN 0 ELSE 1 END AS opens
+  FROM h LEFT JOIN q f ON f.doc_key = h.doc_key AND f.at_row = h.head_row),
+gg AS (SELECT *, sum(opens) OVER (PARTITION BY doc_key ORDER BY page, table_index, table_id) AS grp FROM o),
+st AS (SELECT table_id, doc_key, grp::BIGINT AS "group", row_number() OVER (PARTITION BY doc_key, grp ORDER BY page, table_index, table_id) AS part FROM gg)"""
+
 ORACLE = {
     "validate_chunks": f"""WITH used AS (SELECT DISTINCT chunk_id, document_id, a.asset_id FROM (SELECT chunk_id, document_id, unnest(assets) AS a FROM search_results)),
 named AS (SELECT DISTINCT asset_id, unnest(chunk_ids) AS chunk_id FROM assets)
@@ -142,16 +165,19 @@ ends AS (SELECT query_id, document_id, string_split(section_path, ' → ')[-1] A
 SELECT query_id, document_id, number, cited_id FROM asked JOIN ends USING (query_id, document_id, number)""",
     "table_columns": f"SELECT table_id, {_COLUMNS} AS n_columns FROM ocr_tables",
     "table_markdown": f"WITH {_MARKDOWN} SELECT * FROM md",
-    "stitch_groups": f"""WITH r AS (SELECT *, coalesce(is_continuation, false) AS goes_on, {_COLUMNS} AS columns FROM ocr_tables),
-p AS (SELECT *, lag(page) OVER w AS bp, lag(bbox) OVER w AS bb, lag(columns) OVER w AS bc, row_number() OVER w AS at_row FROM r
-  WINDOW w AS (PARTITION BY doc_key ORDER BY page, table_index, table_id)),
-q AS (SELECT *, coalesce(caption, '') = '' AND coalesce(page = bp + 1 AND columns = bc AND bb.y1 >= 0.75 * 2339 AND least(bbox.x1, bb.x1) > greatest(bbox.x0, bb.x0)
-  AND least(bbox.x1, bb.x1) - greatest(bbox.x0, bb.x0) >= 0.5 * greatest(bbox.x1 - bbox.x0, bb.x1 - bb.x0), false) AS under FROM p),
-h AS (SELECT *, max(CASE WHEN NOT under THEN at_row END) OVER (PARTITION BY doc_key ORDER BY at_row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS head_row FROM q),
-o AS (SELECT h.*, CASE WHEN h.under OR (h.goes_on AND f.at_row IS NOT NULL AND h.table_num IS NOT DISTINCT FROM f.table_num) THEN 0 ELSE 1 END AS opens
-  FROM h LEFT JOIN q f ON f.doc_key = h.doc_key AND f.at_row = h.head_row),
-g AS (SELECT *, sum(opens) OVER (PARTITION BY doc_key ORDER BY page, table_index, table_id) AS grp FROM o)
-SELECT table_id, doc_key, grp::BIGINT AS "group", row_number() OVER (PARTITION BY doc_key, grp ORDER BY page, table_index, table_id) AS part FROM g""",
+    "stitch_groups": f"""WITH {_STITCHED} SELECT * FROM st""",
+    "stitched_tables": rf"""WITH {_MARKDOWN}, {_STITCHED}, lr AS (SELECT table_id, row, count(*)::INT AS width, string_agg(text, ' | ' ORDER BY col) AS line, lower(string_agg(text, '|' ORDER BY col)) AS sign FROM u GROUP BY table_id, row),
+z AS (SELECT st.*, lr.row, line, lr.width, lr.sign IS DISTINCT FROM h.sign AS differs FROM st JOIN lr USING (table_id) LEFT JOIN (SELECT doc_key, "group", row, sign FROM st JOIN lr USING (table_id) WHERE part = 1) h ON h.doc_key = st.doc_key AND h."group" = st."group" AND h.row = lr.row),
+zz AS (SELECT *, bool_or(differs) OVER (PARTITION BY doc_key, "group", part ORDER BY row) AS own FROM z),
+made AS (SELECT doc_key, "group", string_agg('| ' || line || ' |' || CASE WHEN part = 1 AND row = 0 THEN chr(10) || '|' || repeat('---|', width) ELSE '' END, chr(10) ORDER BY part, row) AS markdown FROM zz WHERE part = 1 OR own GROUP BY ALL)
+SELECT doc_key, "group", first(caption ORDER BY part) AS caption, count(*) AS n_parts, any_value(markdown) AS markdown FROM st JOIN (SELECT table_id, caption FROM ocr_tables) USING (table_id) LEFT JOIN made USING (doc_key, "group") GROUP BY ALL""",
+    "table_notes": rf"""WITH {_MARKDOWN}, r AS (SELECT table_id, row, list(text ORDER BY col) AS c, count(*) OVER (PARTITION BY table_id) AS n, max(row) OVER (PARTITION BY table_id) AS last_row FROM u GROUP BY table_id, row),
+k AS (SELECT table_id, c, list_filter(c, lambda x: x <> '') AS f FROM r WHERE n > 1 AND row = last_row)
+SELECT * FROM (SELECT table_id, CASE WHEN regexp_matches(c[1], '{O.NOTE.replace("(?iu)", "(?i)")}') THEN array_to_string([c[1]] || list_filter(c[2:], lambda x: x <> '' AND x <> c[1]), ' ') WHEN len(f) >= 2 AND len(list_distinct(f)) = 1 THEN f[1] END AS note FROM k) WHERE note IS NOT NULL""",
+    "merged_headers": rf"""WITH {_MARKDOWN}, r AS (SELECT table_id, row, list(text ORDER BY col) AS c FROM u WHERE row <= 1 GROUP BY table_id, row), t AS (SELECT a.table_id, a.c AS a, b.c AS b, greatest(len(a.c), coalesce(len(b.c), 0)) AS w FROM r a LEFT JOIN r b ON b.table_id = a.table_id AND b.row = 1 WHERE a.row = 0),
+s AS (SELECT *, list_min(list_filter(range(1, w + 1), lambda i: coalesce(a[i], '') <> coalesce(b[i], ''))) AS cut FROM t)
+SELECT table_id, CASE WHEN b IS NOT NULL AND cut > 1 THEN array_to_string(list_transform(range(1, w + 1), lambda i: CASE WHEN i < cut THEN coalesce(a[i], '') ELSE concat_ws(' ', nullif(coalesce(a[i], ''), ''), nullif(coalesce(b[i], ''), '')) END), ' | ')
+  ELSE array_to_string(a, ' | ') END AS header, coalesce(b IS NOT NULL AND cut > 1, false) AS merged FROM s""",
     "ocr_headings": f"WITH {_OCR_HEADINGS} SELECT * FROM h",
     "blocks_outside_tables": f"SELECT block_id FROM ocr_blocks b WHERE NOT {_INSIDE}",
     "captions_above": """SELECT t.table_id, first(b.block_id ORDER BY b.bbox.y0 DESC, b.block_id) AS caption_block FROM ocr_tables t LEFT JOIN ocr_blocks b ON b.doc_key = t.doc_key AND b.page = t.page AND b.bbox.y0 < t.bbox.y0

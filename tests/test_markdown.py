@@ -155,3 +155,30 @@ def test_numbers_slugs_and_signs(spark):
     text = "Таблица 2.1 — Токи\n| a | b |\n|---|---|\n| 1 | 2 |\nпроза\n| c | d |\n|:---|---:|\n| нет | правила |\n\n| x | y |\n| 1 | 2 |"
     got = spark.createDataFrame([(text,), (None,)], "t string").select(T.without_tables(F.col("t"))).collect()
     assert got[0][0] == "Таблица 2.1 — см. прикреплённое изображение\nпроза\n(таблица — см. прикреплённое изображение)\n\n| x | y |\n| 1 | 2 |" and got[1][0] is None
+
+
+def grid(*rows):
+    return [(r, c, 1, 1, text) for r, row in enumerate(rows) for c, text in enumerate(row)]
+
+
+def with_cells(spark, *tables):
+    rows = [(i, "d", i, 0, (0.0, 0.0, 1.0, 1.0), cells, caption, number, goes_on) for i, (cells, caption, number, goes_on) in enumerate(tables)]
+    return spark.createDataFrame(rows, TABLES)
+
+
+def test_stitched_tables_keep_data_rows(spark):
+    one = grid(["Имя", "N"], ["а", "1"], ["б", "2"])
+    two = grid(["имя", "N"], ["а", "1"], ["в", "3"], ["б", "2"])
+    rows = {r.group: r for r in O.stitched_tables(with_cells(spark, (one, "Таблица 1", "1", False), (two, "Продолжение", "1", True), (None, "Таблица 2", "2", False))).collect()}
+    assert rows[1].markdown == "| Имя | N |\n|---|---|\n| а | 1 |\n| б | 2 |\n| в | 3 |\n| б | 2 |" and (rows[1].caption, rows[1].n_parts) == ("Таблица 1", 2)
+    assert rows[2].markdown is None and rows[2].n_parts == 1
+
+
+def test_notes_and_headers(spark):
+    noted = grid(["a", "b"], ["П р и м е ч а н и е — да", "и ещё"])
+    alike, plain, short = grid(["a", "b"], ["одно", "одно"]), grid(["a", "b"], ["1", ""]), grid(["Примечание"])
+    tables = with_cells(spark, *[(c, None, None, False) for c in (noted, alike, plain, short, None)])
+    assert {r.table_id: r.note for r in O.table_notes(tables).collect()} == {0: "П р и м е ч а н и е — да и ещё", 1: "одно"}
+    spanned = [(0, 0, 2, 1, "Общий"), (0, 1, 1, 2, "Kc"), (1, 1, 1, 1, "2"), (1, 2, 1, 1, "3")]
+    headers = {r.table_id: (r.header, r.merged) for r in O.merged_headers(with_cells(spark, (spanned, None, None, False), (plain, None, None, False))).collect()}
+    assert headers == {0: (["Общий", "Kc 2", "Kc 3"], True), 1: (["a", "b"], False)}
