@@ -45,6 +45,8 @@ _SHORT = 1 << 16
 _FIXED, _ANY = 11, 2
 _SIGN, _STEP, _MIX = np.uint64(1 << 63), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _PAIRS_AT_ONCE, _ENTRIES_AT_ONCE = 20_000, 30_000
+#: Lists whose pairs are counted as products of matrices: entries at least, and cells of the matrix at most.
+_DENSE_FROM, _DENSE_CELLS = 32, 1 << 25
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -203,8 +205,30 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.concatenate([first, [len(values)]]))
 
 
-def _local_pairs(keys: np.ndarray, short: np.ndarray, lengths: np.ndarray, need: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of entries of one list that have one of their locally rarest values in common, a bounded number at a time."""
+def _dense_pairs(rows: np.ndarray, column: np.ndarray, n: int, width: int, before: np.ndarray, need: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a list whose entries have most values in common, counted as products of matrices, some rows at a time.
+
+    ``rows``, ``column``: which entry has which of the ``width`` shared values; ``before``: which of these are
+    rarer than the list's own value. Pairs with more than two such values in common meet in other lists.
+    """
+    grid = np.zeros((n, width), np.float32)
+    grid[rows, column] = 1
+    rarer = grid[:, before]
+    step = max(1, (1 << 22) // n)
+    for i in range(0, n, step):
+        some = slice(i, i + step)
+        common = grid[some] @ grid.T
+        good = (common >= np.maximum(need[some][:, None], need) - 1) & (rarer[some] @ rarer.T <= 2)
+        a, b = np.nonzero(good & (np.arange(n) > np.arange(i, min(n, i + step))[:, None]))
+        yield a + i, b
+
+
+def _local_pairs(keys: np.ndarray, short: np.ndarray, lengths: np.ndarray, need: np.ndarray, order_of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of entries of one list that have one of their locally rarest values in common, a bounded number at a time.
+
+    Where that would make more pairs than the list has (versions of one text), all pairs of the list are
+    counted instead.
+    """
     n, k = short.shape
     number = np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]])).astype(np.uint64)
     there = np.arange(k) < lengths[:, None]
@@ -215,6 +239,7 @@ def _local_pairs(keys: np.ndarray, short: np.ndarray, lengths: np.ndarray, need:
     often = np.repeat(length, length)
     shared = often > 1
     flat, who, often = flat[shared], who[shared], often[shared]
+    all_flat, all_who = flat, who
     order = np.lexsort((flat, often, who))
     flat, who = flat[order], who[order]
     own = np.bincount(who, minlength=n)
@@ -225,6 +250,20 @@ def _local_pairs(keys: np.ndarray, short: np.ndarray, lengths: np.ndarray, need:
     flat, who = flat[order], who[order]
     first, length = _runs(flat)
     rest = np.repeat(first + length, length) - np.arange(len(flat)) - 1
+    list_of, made = np.unique((flat >> np.uint64(16)).astype(np.int64), return_inverse=True)
+    begins, sizes = _runs(keys)
+    pairs = np.bincount(made, weights=rest, minlength=len(list_of))
+    for x in list_of[(pairs > sizes[list_of] * (sizes[list_of] - 1.0) / 2) & (sizes[list_of] >= _DENSE_FROM)]:
+        low, high = np.searchsorted(all_flat, [np.uint64(x) << np.uint64(16), np.uint64(x + 1) << np.uint64(16)])
+        values, column = np.unique(all_flat[low:high], return_inverse=True)
+        if sizes[x] * len(values) <= _DENSE_CELLS:
+            mine = slice(begins[x], begins[x] + sizes[x])
+            own = order_of[keys[begins[x]] & (_SHORT - 1)]
+            before = order_of[(values & np.uint64(_SHORT - 1)).astype(np.int64)] < own
+            for a, b in _dense_pairs(all_who[low:high] - begins[x], column, sizes[x], len(values), before, need[mine]):
+                yield a + begins[x], b + begins[x]
+            kept = list_of[made] != x
+            flat, who, rest, made = flat[kept], who[kept], rest[kept], made[kept]
     ends = np.cumsum(rest)
     at = 0
     while at < len(flat):
@@ -270,7 +309,7 @@ def _meet(batches: Iterator[pa.RecordBatch], lists: Broadcast, k: int, threshold
         size = np.ascontiguousarray(made[:, 8:10]).view(np.uint16)[:, 0].astype(np.int64)
         side, short = made[:, 10], np.ascontiguousarray(made[:, _FIXED:]).view(np.uint16)
         lengths, need = np.minimum(size, k), _needed(size, k, threshold)
-        for a, b in _local_pairs(keys, short, lengths, need):
+        for a, b in _local_pairs(keys, short, lengths, need, order):
             near = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9
             near |= np.maximum(size[a], size[b]) == _SHORT - 1
             near &= (ids[a] != ids[b]) & ((side[a] == _ANY) | (side[a] != side[b]))

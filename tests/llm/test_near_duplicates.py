@@ -97,14 +97,19 @@ def test_run_numbers():
     assert at.tolist() == [0, 2, 2, 2, 3] and values[1] == values[2] != values[0]
 
 
-def test_local_pairs_hold_every_pair_with_enough_in_common():
+# Values that few entries of a list have in common, and values that most have.
+@pytest.mark.parametrize("known", [40, 14])
+def test_local_pairs_hold_every_pair_with_enough_in_common(known):
     rng = np.random.default_rng(0)
-    keys = np.sort(rng.choice(4, 120))
-    short = np.stack([rng.choice(40, 10, replace=False) for _ in keys]).astype(np.uint16)
-    lengths, need = np.full(120, 10), np.full(120, 4)
-    got = {p for a, b in _local_pairs(keys, short, lengths, need) for p in zip(a.tolist(), b.tolist())}
-    want = {(i, j) for i in range(120) for j in range(i + 1, 120) if keys[i] == keys[j] and len(np.intersect1d(short[i], short[j])) >= 4}
-    assert want and want <= got
+    keys = np.sort(rng.choice(4, 300)) << 32
+    short = np.stack([rng.choice(known, 10, replace=False) for _ in keys]).astype(np.uint16)
+    keys += 5
+    order = rng.permutation(1 << 16)
+    lengths, need = np.full(300, 10), np.full(300, 4)
+    got = {p for a, b in _local_pairs(keys, short, lengths, need, order) for p in zip(a.tolist(), b.tolist())}
+    rarer = lambda x, y: (order[np.intersect1d(x, y)] < order[5]).sum() <= 2
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if keys[i] == keys[j] and len(np.intersect1d(short[i], short[j])) >= 4 and rarer(short[i], short[j])}
+    assert want and want <= got and all(i < j and keys[i] == keys[j] for i, j in got)
 
 
 def test_components(spark):
