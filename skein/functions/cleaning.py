@@ -26,6 +26,18 @@ def doubtful_tables(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(DOUBTFUL), F.lit(1)))
 
 
+#: Share of a text that what was made of it must have.
+LEAST_SHARE = 0.85
+
+
+def made_or_original(made: Column, original: Column, least: float = LEAST_SHARE) -> Column:
+    """What was made of a text, or the text itself where that is null, empty, much shorter or without one of its table markers."""
+    marker = r"<!--\s*(t_p\d+_\d+)\s*-->"
+    ids = lambda c: F.regexp_extract_all(c, F.lit(marker), F.lit(1))
+    whole = (made != "") & (F.length(made) >= least * F.length(original)) & (F.size(F.array_except(ids(original), ids(made))) == 0)
+    return F.when(F.coalesce(whole, F.lit(False)), made).otherwise(original)
+
+
 def italic_labels(text: Column) -> Column:
     """Lines that label a table or a figure in italics, no headings, with a blank line before."""
     apart = F.regexp_replace(text, rf"(?iu)(?<=[^\n])\n[ \t]*{LABEL}(?=\n|$)", "\n\n$1")

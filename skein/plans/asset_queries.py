@@ -86,7 +86,8 @@ def scan_completeness(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def history_context(spark: SparkSession, folder: str) -> DataFrame:
-    return last_turns(table(spark, folder, "events"), "user_id", ["ts", "event_id"], "event_type")
+    """The texts found last for each query, each cut to 500 characters."""
+    return last_turns(table(spark, folder, "search_results"), "query_id", ["retrieved_at", "result_id"], "text")
 
 
 def answer_loop(spark: SparkSession, folder: str) -> DataFrame:
@@ -186,8 +187,8 @@ SELECT table_id, CASE WHEN b IS NOT NULL AND cut > 1 THEN array_to_string(list_t
     "scan_completeness": f"""WITH {_OCR_HEADINGS}, w AS (SELECT DISTINCT doc_key, number FROM md_headings WHERE number IS NOT NULL AND doc_key IN (SELECT doc_key FROM h)),
 c AS (SELECT doc_key, count(*) AS n_expected, count(CASE WHEN NOT EXISTS (SELECT 1 FROM h WHERE h.doc_key = w.doc_key AND h.number = w.number) THEN 1 END) AS n_missing FROM w GROUP BY doc_key)
 SELECT *, CASE WHEN n_missing > 3 THEN 'critical' WHEN n_missing > 0 THEN 'incomplete' ELSE 'complete' END AS verdict FROM c""",
-    "history_context": """SELECT user_id, string_agg(substring(event_type, 1, 500), chr(10) ORDER BY r DESC) AS context FROM (
-  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 3 GROUP BY user_id""",
+    "history_context": """SELECT query_id, coalesce(string_agg(substring(text, 1, 500), chr(10) ORDER BY r DESC), '') AS context FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY retrieved_at DESC, result_id DESC) AS r FROM search_results) WHERE r <= 3 GROUP BY query_id""",
     "answer_loop": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC NULLS LAST, result_id) AS n FROM search_results),
 b AS (SELECT query_id, max(CASE WHEN n <= 3 THEN score END) AS b0, max(CASE WHEN n <= 6 THEN score END) AS b1, max(CASE WHEN n <= 9 THEN score END) AS b2 FROM r GROUP BY query_id),
 t AS (SELECT *, CASE WHEN b0 > 0.7 OR coalesce(b0, 0) < 0.4 THEN 0 WHEN b1 > 0.7 THEN 1 ELSE 2 END AS tries FROM b),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions.folding import reference_key
+from skein.operators.structure import token_count
 from skein.plans.orphan_queries import _key
 from skein.session import table
 
@@ -40,6 +41,22 @@ def payload_rows(spark: SparkSession, folder: str) -> DataFrame:
     return held.select("result_id", F.size("held").alias("n_assets"), F.array_join(label, "; ").alias("held"))
 
 
+def index_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows as the index holds them: the chunk's fields, type and domain of its document's latest record, assets that exist, tokens and a place."""
+    known = table(spark, folder, "assets").groupBy("asset_id").agg(F.lit(1).alias("there"))
+    rows = table(spark, folder, "search_results")
+    used = rows.select("result_id", F.posexplode("assets").alias("pos", "a")).select("result_id", "pos", "a.asset_id").join(known, "asset_id")
+    used = used.groupBy("result_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "asset_id"))), lambda x: x["asset_id"]), "; ").alias("assets"))
+    about = _latest_registry(spark, folder).select(reference_key(F.col("document_id")).alias("key"), "loaded_at", "rec_id", F.col("document_type").alias("known_type"), F.col("domain").alias("known_domain"))
+    about = about.where("key IS NOT NULL").groupBy("key").agg(F.max_by("known_type", F.struct("loaded_at", "rec_id")).alias("document_type"), F.max_by("known_domain", F.struct("loaded_at", "rec_id")).alias("domain"))
+    h = "heading_texts"
+    rows = rows.select(
+        "result_id", "chunk_id", "document_id", reference_key(F.col("document_id")).alias("key"), "title", "status", "section_path", f"{h}.chapter", f"{h}.section", f"{h}.clause", "text",
+        F.array_join(F.coalesce("references", F.array().cast("array<string>")), "; ").alias("references"), token_count(F.col("text")).alias("chunk_tokens"),
+    )
+    return rows.join(about, "key", "left").join(used, "result_id", "left").drop("key").withColumn("assets", F.coalesce("assets", F.lit("")))
+
+
 def figure_order(spark: SparkSession, folder: str) -> DataFrame:
     """Images of each document renumbered by the number in their name; other names come last."""
     number = F.try_element_at(F.regexp_extract_all("asset_id", F.lit(r"fig_([0-9]+)$"), F.lit(1)), F.lit(1)).try_cast("int")
@@ -61,7 +78,7 @@ def landmark_edges(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("block_id", F.array_join(F.slice("w", 1, 6), " ").alias("head"), F.array_join(F.slice("w", -6, 6), " ").alias("tail"))
 
 
-QUERIES = {f.__name__: f for f in (document_mentions, asset_registry, payload_rows, figure_order, rare_tokens, landmark_edges)}
+QUERIES = {f.__name__: f for f in (document_mentions, asset_registry, payload_rows, index_rows, figure_order, rare_tokens, landmark_edges)}
 
 _LATEST = "latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_key ORDER BY loaded_at DESC NULLS LAST, rec_id DESC) AS turn FROM registry WHERE doc_key IS NOT NULL) WHERE turn = 1)"
 
@@ -72,6 +89,10 @@ SELECT block_id, doc_key FROM f JOIN latest ON {_key('document_id')} = f.key""",
     "payload_rows": """WITH u AS (SELECT result_id, a.asset_id, pos FROM (SELECT result_id, unnest(assets) AS a, generate_subscripts(assets, 1) AS pos FROM search_results)),
 k AS (SELECT asset_id, max(caption) AS caption FROM assets GROUP BY asset_id)
 SELECT result_id, count(*)::INT AS n_assets, string_agg(asset_id || '=' || coalesce(caption, '-'), '; ' ORDER BY pos) AS held FROM u JOIN k USING (asset_id) GROUP BY result_id""",
+    "index_rows": f"""WITH {_LATEST}, about AS (SELECT {_key('document_id')} AS key, first(document_type ORDER BY loaded_at DESC NULLS LAST, rec_id DESC) AS document_type, first(domain ORDER BY loaded_at DESC NULLS LAST, rec_id DESC) AS domain FROM latest WHERE {_key('document_id')} IS NOT NULL GROUP BY 1),
+used AS (SELECT result_id, string_agg(asset_id, '; ' ORDER BY pos) AS assets FROM (SELECT result_id, a.asset_id, pos FROM (SELECT result_id, unnest(assets) AS a, generate_subscripts(assets, 1) AS pos FROM search_results)) WHERE asset_id IN (SELECT asset_id FROM assets) GROUP BY result_id)
+SELECT s.result_id, chunk_id, document_id, title, status, section_path, heading_texts.chapter AS chapter, heading_texts.section AS section, heading_texts.clause AS clause, text, coalesce(array_to_string("references", '; '), '') AS "references",
+  greatest(1, floor(length(text) / 3.5)::INT) AS chunk_tokens, about.document_type, about.domain, coalesce(used.assets, '') AS assets FROM search_results s LEFT JOIN about ON about.key = {_key('s.document_id')} LEFT JOIN used ON used.result_id = s.result_id""",
     "figure_order": """SELECT asset_id, row_number() OVER (PARTITION BY split_part(asset_id, '/', 1) ORDER BY try_cast(nullif(regexp_extract(asset_id, 'fig_([0-9]+)$', 1), '') AS INT) NULLS LAST, asset_id) AS figure
   FROM assets WHERE asset_type = 'image'""",
     "rare_tokens": r"SELECT block_id, array_to_string(list_slice(regexp_extract_all(text, '\p{L}{9,}'), 1, 3), ' ') AS tokens FROM ocr_blocks",

@@ -69,8 +69,13 @@ def dedup_sources(spark: SparkSession, folder: str) -> DataFrame:
 def result_shape(spark: SparkSession, folder: str) -> DataFrame:
     h = "heading_texts"
     path = F.array_join(F.filter(F.array(f"{h}.chapter", f"{h}.section", f"{h}.clause"), lambda x: x != ""), " → ")
+    asset = F.transform("assets", lambda a: F.concat_ws("|", a["asset_type"], a["caption"], a["image_path"], F.concat_ws(",", a["image_paths"]), a["asset_id"]))
     return _results(spark, folder).select(
         "result_id",
+        "rank",
+        *("chunk_id", "document_id", "document_type", "domain", "title", "status", "section_path", "text"),
+        F.array_join(F.coalesce("references", F.array().cast("array<string>")), "; ").alias("references"),
+        F.coalesce(F.array_join(asset, "; "), F.lit("")).alias("assets"),
         R.source_name(F.col("title"), F.col("document_id")).alias("source"),
         F.round("score", 4).alias("score"),
         F.round("rrf_score", 4).alias("rrf_score"),
@@ -153,7 +158,8 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY reran
     "source_names": f"SELECT query_id, array_to_string(list_sort(list(DISTINCT {_NAME})), '; ') AS sources FROM search_results GROUP BY query_id",
     "dedup_sources": """SELECT query_id, result_id, rank, document_id, title FROM (SELECT *, coalesce(nullif(document_id, ''), lower(nullif(title, ''))) AS k,
   row_number() OVER (PARTITION BY query_id, coalesce(nullif(document_id, ''), lower(nullif(title, ''))) ORDER BY rank, result_id) AS r FROM search_results) WHERE r = 1 OR k IS NULL""",
-    "result_shape": f"""SELECT result_id, {_NAME} AS source, round(score, 4) AS score, round(rrf_score, 4) AS rrf_score, {_QUALITY.format('score')} AS quality,
+    "result_shape": f"""SELECT result_id, rank, chunk_id, document_id, document_type, domain, title, status, section_path, text, coalesce(array_to_string("references", '; '), '') AS "references",
+  coalesce(array_to_string(list_transform(assets, lambda a: concat_ws('|', a.asset_type, a.caption, a.image_path, coalesce(array_to_string(a.image_paths, ','), ''), a.asset_id)), '; '), '') AS assets, {_NAME} AS source, round(score, 4) AS score, round(rrf_score, 4) AS rrf_score, {_QUALITY.format('score')} AS quality,
   coalesce(array_to_string(list_filter([heading_texts.chapter, heading_texts.section, heading_texts.clause], lambda x: x <> ''), ' → '), '') AS headings,
   coalesce(len(assets), 0) AS n_assets FROM search_results""",
     "documents_in_base": """SELECT document_id, first(title ORDER BY result_id) AS title, first(document_type ORDER BY result_id) AS document_type, first(domain ORDER BY result_id) AS domain,

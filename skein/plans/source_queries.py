@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import cleaning as C
+from skein.operators import scanned as O
+from skein.plans.asset_queries import _OCR_HEADINGS
 from skein.plans.markdown_queries import _PAGES, _pages
 from skein.sources import pages as P
 from skein.session import table
@@ -44,11 +46,50 @@ def joined_numbers(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "ocr_blocks").select("block_id", C.joined_digits(F.col("text")).alias("text"), C.refused(F.col("text")).alias("refused"))
 
 
-QUERIES = {f.__name__: f for f in (delivered_blocks, delivered_cells, labelled_pages, joined_numbers)}
+def guarded_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages without their markers, or with digits alone, or with labels: what lost too much stays as it was."""
+    text, way = F.col("text"), F.pmod(F.col("page"), F.lit(3))
+    made = F.when(way == 0, F.regexp_replace(text, r"<!--[^>]*-->", "")).when(way == 1, F.regexp_replace(text, "[^0-9]+", " ")).otherwise(F.concat(text, F.lit(" конец")))
+    return _pages(spark, folder).select("doc", C.made_or_original(made, text).alias("text"))
+
+
+def files_to_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The registered document of each file, whatever the case and the separators of its name; a name without its ending counts too."""
+    plain = lambda c: F.regexp_replace(F.lower(c), r"[^0-9a-zа-яё]", "")
+    stem = lambda c: F.regexp_replace(c, r"\.[^.]*$", "")
+    rows = table(spark, folder, "registry").where("source_file <> '' AND doc_key IS NOT NULL").select("rec_id", "doc_key", "source_file")
+    files = rows.select("rec_id", F.when(F.col("rec_id") % 2 == 0, F.upper(F.translate("source_file", "_", "-"))).otherwise(F.concat(stem("source_file"), F.lit(".docx"))).alias("file"))
+    known = rows.groupBy(plain(stem(F.col("source_file"))).alias("name")).agg(F.min_by("doc_key", "rec_id").alias("doc_key"))
+    return files.withColumn("name", plain(stem(F.col("file")))).join(known, "name").select("rec_id", "file", "doc_key")
+
+
+def heading_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The first scanned page on which each numbered heading of the documents stands; null if none does."""
+    seen = O.headings(table(spark, folder, "ocr_blocks")).groupBy("doc_key", "number").agg(F.min("page").alias("page"))
+    rows = table(spark, folder, "md_headings").where("number IS NOT NULL AND doc_key IS NOT NULL").select("heading_id", "doc_key", "number")
+    return rows.join(seen, ["doc_key", "number"], "left").select("heading_id", "page")
+
+
+def table_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Tables of each document in the order of their markers' page and index, other markers first."""
+    marker = F.concat(F.lit("t_p"), F.col("page").cast("string"), F.lit("_"), F.col("table_index").cast("string"))
+    part = lambda i: F.coalesce(F.regexp_extract("marker", r"^t_p(\d+)_(\d+)", i).try_cast("int"), F.lit(0))
+    order = Window.partitionBy("doc_key").orderBy(part(1), part(2), "table_id")
+    return table(spark, folder, "ocr_tables").select("table_id", "doc_key", marker.alias("marker")).select("table_id", "marker", F.row_number().over(order).alias("place"))
+
+
+QUERIES = {f.__name__: f for f in (delivered_blocks, delivered_cells, labelled_pages, joined_numbers, guarded_pages, files_to_documents, heading_pages, table_order)}
 
 _TEXT = r"array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda t: regexp_replace(t, '^\s+|\s+$', '', 'g')), lambda t: t <> ''), ' ')"
 _REFUSED = "|".join(f"(?:{p})" for p in C.REFUSALS).replace("'", "''")
+_PLAIN_NAME = "regexp_replace(lower(regexp_replace({0}, '\\.[^.]*$', '')), '[^0-9a-zа-яё]', '', 'g')"
 ORACLE = {
+    "guarded_pages": rf"""WITH {_PAGES}, g AS (SELECT doc, text, CASE page % 3 WHEN 0 THEN regexp_replace(text, '<!--[^>]*-->', '', 'g') WHEN 1 THEN regexp_replace(text, '[^0-9]+', ' ', 'g') ELSE text || ' конец' END AS made FROM pages)
+SELECT doc, CASE WHEN made <> '' AND length(made) >= 0.85 * length(text) AND len(list_filter(regexp_extract_all(text, '<!--\s*(t_p\d+_\d+)\s*-->', 1), lambda x: NOT list_contains(regexp_extract_all(made, '<!--\s*(t_p\d+_\d+)\s*-->', 1), x))) = 0 THEN made ELSE text END AS text FROM g""",
+    "files_to_documents": rf"""WITH f AS (SELECT rec_id, doc_key, source_file, CASE WHEN rec_id % 2 = 0 THEN upper(translate(source_file, '_', '-')) ELSE regexp_replace(source_file, '\.[^.]*$', '') || '.docx' END AS file FROM registry WHERE source_file <> '' AND doc_key IS NOT NULL),
+k AS (SELECT {_PLAIN_NAME.format('source_file')} AS name, first(doc_key ORDER BY rec_id) AS doc_key FROM f GROUP BY 1) SELECT rec_id, file, k.doc_key FROM f JOIN k ON {_PLAIN_NAME.format('file')} = k.name""",
+    "heading_pages": f"""WITH {_OCR_HEADINGS}, s AS (SELECT doc_key, number, min(page) AS page FROM h GROUP BY ALL) SELECT heading_id, s.page FROM md_headings m LEFT JOIN s ON s.doc_key = m.doc_key AND s.number = m.number WHERE m.number IS NOT NULL AND m.doc_key IS NOT NULL""",
+    "table_order": """SELECT table_id, 't_p' || page || '_' || table_index AS marker, row_number() OVER (PARTITION BY doc_key ORDER BY page, table_index, table_id) AS place FROM ocr_tables""",
     "delivered_blocks": rf"""WITH b AS (SELECT *, {_TEXT} AS said FROM (SELECT DISTINCT ON (doc_key, page, pos) * FROM ocr_blocks WHERE doc_key IS NOT NULL AND page IS NOT NULL ORDER BY block_id)),
 h AS (SELECT *, layout_type = 'SECTION_HEADER' AND trim(regexp_extract(said, '{P.HEADING}', 2)) <> '' AND length(said) < 100 AND len(regexp_split_to_array(said, '\s+')) < 10 AND bbox.x0 < 827
   AND NOT EXISTS (SELECT 1 FROM b o WHERE o.doc_key = b.doc_key AND o.page = b.page AND o.bbox.y0 <> b.bbox.y0 AND abs(o.bbox.y0 - b.bbox.y0) <= 15) AS is_heading FROM b
