@@ -116,7 +116,7 @@ def parts(text: Column, limit: int, measure: Callable[[Column], Column] = token_
         )
 
     made = F.aggregate(atomic_blocks(text), start, step, lambda s: F.when(s["n"] > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]))
-    return F.when(measure(text) <= limit, F.array(text)).otherwise(F.when(F.size(made) > 0, made).otherwise(F.array(text)))
+    return F.when(text.isNull(), F.lit(None)).when(measure(text) <= limit, F.array(text)).when(F.size(made) > 0, made).otherwise(F.array(text))
 
 
 def configured_references(text: Column) -> Column:
