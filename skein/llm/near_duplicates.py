@@ -46,7 +46,7 @@ _FIXED, _ANY = 11, 2
 _SIGN, _STEP, _MIX = np.uint64(1 << 63), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _PAIRS_AT_ONCE, _ENTRIES_AT_ONCE = 20_000, 30_000
 #: Lists whose pairs are counted as products of matrices: entries at least, and cells of the matrix at most.
-_DENSE_FROM, _DENSE_CELLS = 32, 1 << 25
+_DENSE_FROM, _DENSE_CELLS = 32, 1 << 24
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
