@@ -1,3 +1,5 @@
+from itertools import product
+
 from skein.llm.scans import _flat, as_number, correction_candidates, distance, furniture, malformed, repaired, repeated_headers
 
 BLOCKS = "block_id bigint, doc_key string, page int, pos int, layout_type string, text string, word string, n string"
@@ -113,3 +115,27 @@ def test_headers_by_repetition_and_long_tokens(spark):
     assert all(out[i] == ("", True) for i in range(0, 36, 3))
     assert out[37] == ("Насос работает.", True) and out[38] == (blocks[38][3], False)
     assert out[40][0] == blocks[40][3] and repeated_headers(left.limit(0)) == []
+
+
+def test_more_headers_than_tasks_hold(spark):
+    names = ["Глава о насосах " + "".join(x) for x in product("адежкмрхфэюя", repeat=3)][:150]
+    pages = [(f"d{d}", 3 * i + p, i) for d in range(2) for i in range(len(names)) for p in range(1, 4)]
+    blocks = [(d, page, pos, text) for d, page, i in pages for pos, text in enumerate([names[i], f"{GOOD} {d}{page}"])]
+    blocks += [("d0", 999, 0, GOOD), ("d0", 999, 1, f"Насос работает.\n{names[149]}"), ("d0", 999, 2, f"Папка {names[149]} хранится отдельно")]
+    rows = [(i, d, page, pos, "TEXT", text, "x", "y") for i, (d, page, pos, text) in enumerate(blocks)]
+    left, right = spark.createDataFrame(rows, BLOCKS), spark.createDataFrame([], TABLES)
+    assert len(repeated_headers(left)) == 150
+    for out in (repaired(left, right), repaired(left, right, most_headers=20)):
+        out = {r.row_id: (r.text, r.damaged) for r in out.collect()}
+        assert len(out) == len(rows)
+        assert all(out[i] == ("", True) for i in range(0, 2 * len(pages), 2)) and not any(out[i][1] for i in range(1, 2 * len(pages), 2))
+        assert out[len(rows) - 2] == ("Насос работает.", True) and out[len(rows) - 1] == (blocks[-1][3], False)
+
+
+def test_headings_of_copied_documents_are_no_headers(spark):
+    heading = "Безопасность работ"
+    blocks = [(f"c{d}", page, pos, text) for d in range(10) for page in (1, 2) for pos, text in enumerate([heading, f"{GOOD} {page}"])]
+    rows = [(i, d, page, pos, "TEXT", text, "x", "y") for i, (d, page, pos, text) in enumerate(blocks)]
+    assert repeated_headers(spark.createDataFrame(rows, BLOCKS)) == []
+    others = [(-i, f"e{i}", 1, pos, "TEXT", text, "x", "y") for i in range(1, 4) for pos, text in enumerate([heading, f"{GOOD} {i} e"])]
+    assert repeated_headers(spark.createDataFrame(rows + others, BLOCKS)) == [_flat(heading)]
